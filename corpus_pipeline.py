@@ -5,14 +5,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quarrykit.llm.common import load, materialize
+from quarrykit.llm.decontamination import decontaminate
+from quarrykit.llm.language_id import keep_identified, train
+from quarrykit.llm.ngram_join import keep_one
+from quarrykit.llm.packing import pack_documents
+from quarrykit.llm.queries import vocabulary
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that the classifier finds go."""
+    return keep_identified(docs, train(docs))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, load(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, each with its place in a sequence."""
+    return pack_documents(docs, end=0, **vocabulary())
+
+
+STAGES = [("language_id", language_id), ("ngram_join", ngram_join), ("decontamination", decontamination), ("packing", packing)]
 
 #: SQL can't express these stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages; what one keeps is written and read again for the next."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,57 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+#: A filter of ids has at most so many bits (4 MB), whatever the number of ids.
+FILTER_BITS = 1 << 25
+_HASHED = ["__h0", "__h1"]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter over the one column of ids, built by an aggregation: 64-bit words of bounded number."""
+    name = ids.columns[0]
+    bits = min(FILTER_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+    at = ids.select(F.explode(F.array(*(F.xxhash64(name, F.lit(i)).bitwiseAND(bits - 1) for i in (0, 1)))).alias("p"))
+    words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[np.asarray(words["w"])] = np.asarray(words["m"])
+    return table.view(np.uint64)
+
+
+def with_hashes(df: DataFrame, name: str) -> DataFrame:
+    """Adds the two hashes that id_filter uses."""
+    return df.withColumns({c: F.xxhash64(name, F.lit(i)) for i, c in enumerate(_HASHED)})
+
+
+def maybe_in(batch: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
+    """Which rows' ids may be in the filter; no id that is in it is missed."""
+    hit = np.ones(batch.num_rows, bool)
+    for c in _HASHED:
+        h = np.asarray(batch.column(c)) & (len(table) * 64 - 1)
+        hit &= ((table[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return hit
+
+
+def without(df: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose id isn't in gone. Only rows that pass a Bloom filter of gone are shuffled to be
+    judged exactly; the rest, most rows where few go, stay where they are."""
+    gone = materialize(gone.select(F.col(gone.columns[0]).alias(name)).where(f"`{name}` is not null").distinct(), "gone")
+    table, columns = id_filter(gone), df.columns
+    held = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(wanted: bool):
+        def each(batches):
+            for batch in batches:
+                rows = batch.filter(pa.array(maybe_in(batch, held.value) == wanted))
+                if rows.num_rows:
+                    yield rows.select(columns)
+
+        return each
+
+    hashed = with_hashes(df, name)
+    sure = hashed.mapInArrow(run(False), df.schema)
+    return sure.unionByName(hashed.mapInArrow(run(True), df.schema).join(gone, name, "left_anti").select(*columns))
+
+
 def bucket_of(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most value, as a balanced tree of comparisons; null: 0."""
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, materialize, partitions
+from .common import connected_components, id_filter, materialize, maybe_in, partitions, with_hashes, without
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -241,15 +241,10 @@ def _sketches(k: int, scheme: PartEnum, sign: bool):
     return run
 
 
-def _sets(k: int, bits: np.ndarray):
-    mask = len(bits) * 64 - 1
-
+def _sets(k: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = [np.asarray(batch.column(c).fill_null(0)).astype(np.int64) & mask for c in ("h0", "h1")]
-            hit = np.ones(batch.num_rows, bool)
-            for h in hashed:
-                hit &= ((bits[h >> 6] >> (h & 63).astype(U)) & U(1)).astype(bool)
+            hit = maybe_in(batch, held.value)
             if not hit.any():
                 continue
             batch = batch.filter(pa.array(hit))
@@ -344,8 +339,6 @@ def _verify(num: int, den: int):
 
 #: A block of a cluster holds about so many elements.
 BLOCK = 1_000_000
-#: The filter that keeps texts outside all clusters from the second pass has at most so many bits (4 MB).
-FILTER_BITS = 1 << 25
 
 
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -378,14 +371,8 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int
     inside = materialize(inside.join(blocks, "cluster").select("digest", "cluster", "rep", "copies", "blocks", F.expr("cast(pmod(xxhash64(digest), blocks) as int)").alias("block")), "clusters")
 
     # texts outside all clusters are left out before they are hashed a second time
-    count = inside.count()
-    bits = min(FILTER_BITS, 1 << max(10, (16 * count).bit_length()))
-    hashes = [F.xxhash64("rep", F.lit(i)) for i in (0, 1)]
-    at = inside.select(F.explode(F.array(*(h.bitwiseAND(bits - 1) for h in hashes))).alias("p"))
-    words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[np.asarray(words["w"])] = np.asarray(words["m"])
-    sets = docs.withColumns({f"h{i}": F.xxhash64("doc_id", F.lit(i)) for i in (0, 1)}).mapInArrow(_sets(k, table.view(U)), "doc_id long, digest long, elements array<long>")
+    held = spark.sparkContext.broadcast(id_filter(inside.select("rep")))
+    sets = with_hashes(docs, "doc_id").mapInArrow(_sets(k, held), "doc_id long, digest long, elements array<long>")
     units = (
         sets.join(inside.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"])
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -406,3 +393,9 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int
         F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def keep_one(documents: DataFrame, **how) -> DataFrame:
+    """The documents with all their columns, of each group of near-duplicates that with the smallest doc_id."""
+    joined = materialize(ngram_jaccard_join(documents, **how), "groups")
+    return without(documents, "doc_id", joined.where("component_id < doc_id").select("doc_id"))

@@ -5,13 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
+from .decontamination import contamination
+from .language_id import identify, train
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_documents
+from .tokens import token_counts
+
+
+def vocabulary() -> dict[str, str]:
+    """The byte-level BPE of byte_bpe_50k.json, read from its ranks file."""
+    import public_tokenizers
+
+    return {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+#: The id that ends a document in the flat token files: no text has it.
+END_OF_TEXT = 50256
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"), end=END_OF_TEXT, **vocabulary())
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"), end=0, **vocabulary())
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    return identify(documents, train(documents))
+
+
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_ngram_jaccard_join, op6_token_counts, op8_best_fit_packing, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
