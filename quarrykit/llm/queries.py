@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .decontamination import contamination
+from .fingerprints import edited_fingerprints
 from .language_id import identify, train
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
@@ -31,6 +32,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), end=END_OF_TEXT, **vocabulary())
 
@@ -44,6 +49,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, train(documents))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_ngram_jaccard_join, op6_token_counts, op8_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_ngram_jaccard_join, op5_winnowing, op6_token_counts, op8_best_fit_packing, op10_language_id)}
 
 ORACLES: dict[str, str] = {}
