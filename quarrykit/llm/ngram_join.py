@@ -241,26 +241,12 @@ def _sketches(k: int, scheme: PartEnum, sign: bool):
     return run
 
 
-def _sets(k: int, held):
+def _possible(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = maybe_in(batch, held.value)
-            if not hit.any():
-                continue
-            batch = batch.filter(pa.array(hit))
-            ids, texts = batch.column("doc_id"), _texts(batch)
-            at = 0
-            while at < len(texts):
-                begin, size, rows = at, 0, []
-                while at < len(texts) and size < FLUSH:
-                    size += len(texts[at] or b"")
-                    rows.append(shingle_set(texts[at], k))
-                    at += 1
-                offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, at - begin), pa.array([digest(x) for x in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64)))],
-                    ["doc_id", "digest", "elements"],
-                )
+            rows = batch.filter(pa.array(maybe_in(batch, held.value)))
+            if rows.num_rows:
+                yield rows.select(["doc_id", "text"])
 
     return run
 
@@ -307,7 +293,7 @@ def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], num:
     return [find(i) for i in range(n)], total
 
 
-def _verify(num: int, den: int):
+def _verify(k: int, num: int, den: int):
     schema = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def judged(rows: dict[int, tuple]) -> pa.RecordBatch:
@@ -318,15 +304,15 @@ def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, out = None, {}, []
         for batch in batches:
-            lists = batch.column("elements")
-            flat, offsets = np.asarray(lists.values).view(U), np.asarray(lists.offsets)
             cols = [batch.column(c).to_pylist() for c in ("cluster", "b0", "b1", "digest", "copies", "block")]
-            for i, (cluster, b0, b1, key, copies, block) in enumerate(zip(*cols, strict=True)):
+            for text, cluster, b0, b1, key, copies, block in zip(_texts(batch), *cols, strict=True):
                 if (cluster, b0, b1) != unit:
                     if rows:
                         out.append(judged(rows))
                     unit, rows = (cluster, b0, b1), {}
-                rows[key] = (flat[offsets[i] : offsets[i + 1]].copy(), copies, block)
+                elements = shingle_set(text, k)
+                if digest(elements) == key:  # not so for another text under the same doc_id
+                    rows[key] = (elements, copies, block)
             if len(out) > 100:
                 yield from out
                 out = []
@@ -338,7 +324,7 @@ def _verify(num: int, den: int):
 
 
 #: A block of a cluster holds about so many elements.
-BLOCK = 1_000_000
+BLOCK = 400_000
 
 
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -372,14 +358,14 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int
 
     # texts outside all clusters are left out before they are hashed a second time
     held = spark.sparkContext.broadcast(id_filter(inside.select("rep")))
-    sets = with_hashes(docs, "doc_id").mapInArrow(_sets(k, held), "doc_id long, digest long, elements array<long>")
+    texts = with_hashes(docs, "doc_id").mapInArrow(_possible(held), "doc_id long, text string")
     units = (
-        sets.join(inside.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"])
+        texts.join(inside.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("cluster", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "digest", "copies", "block", "elements")
+        .select("cluster", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "digest", "copies", "block", "text")
     )
     judged = materialize(
-        units.repartition(partitions(spark), "cluster", "b0", "b1").sortWithinPartitions("cluster", "b0", "b1").mapInArrow(_verify(num, den), "digest long, root long, links long"), "judged"
+        units.repartition(partitions(spark), "cluster", "b0", "b1").sortWithinPartitions("cluster", "b0", "b1").mapInArrow(_verify(k, num, den), "digest long, root long, links long"), "judged"
     )
     roots = connected_components(judged.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "digest"})
     linked = judged.groupBy("digest").agg(F.sum("links").alias("links"))
