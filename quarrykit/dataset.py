@@ -341,7 +341,7 @@ class DatasetBuilder(Dataset):
         if self.is_view:
             raise ValueError("'createView' is not allowed on a view")
         held = {c.id for c in self._pending}
-        captured = [c for c in source._pending if source is self or c.id not in held]
+        captured = [c for c in source._pending if (source is self or c.id not in held) and not any(isinstance(o, ops.VIEW_OPERATIONS) for o in c.operations)]
         with self._change(f"Create view {name}"):
             key = new_id()
             self._add(ops.CreateView(name, key))
