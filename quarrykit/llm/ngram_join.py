@@ -14,7 +14,8 @@ Bands hold sizes of a ratio of 1.5; a set also signs for the band of size/J, so
 similar meets in a band. Empty partitions don't sign, and ``need`` counts them out; the few sets for which
 that leaves nothing sign their empty partitions too.
 
-Sets that share signatures form candidate clusters. Each cluster is verified exactly against all its
+Pairs of sets that share enough signatures form candidate clusters. A signature that many sets share links
+them as a star, so no more links than members are made of it. Each cluster is verified exactly against all its
 members with an inverted index in memory, in blocks of bounded size; a large cluster becomes pairs of
 blocks. Only links that the exact test confirms are kept, as stars.
 """
@@ -323,6 +324,8 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+#: Of signatures that at most so many sets share, the pairs of sets are counted; larger groups are linked as stars.
+SMALL_GROUP = 32
 #: A block of a cluster holds about so many elements.
 BLOCK = 400_000
 
@@ -349,9 +352,15 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int
         "classes",
     )
     counted = shared.groupBy("digest", F.expr("sig & 1").alias("odd")).agg(F.count("*").alias("shared"))
-    enough = counted.join(classes, "digest").where(F.col("shared") >= F.when(F.col("odd") == 1, F.col("need1")).otherwise(F.col("need0"))).select("digest", "odd")
-    kept = met(shared.withColumn("odd", F.expr("sig & 1")).join(enough, ["digest", "odd"], "left_semi").select("sig", "digest"))
-    clusters = connected_components(kept.where("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b")))
+    enough = counted.join(classes, "digest").withColumn("need", F.when(F.col("odd") == 1, F.col("need1")).otherwise(F.col("need0"))).where("shared >= need").select("digest", "odd", "need")
+    kept = met(shared.withColumn("odd", F.expr("sig & 1")).join(enough, ["digest", "odd"])).withColumn("size", F.count("*").over(by_sig))
+    kept = materialize(kept.select("sig", "odd", "digest", "need", "low", "size"), "candidates")
+    # a similar pair shares need signatures: all in small groups, whose pairs are counted, or one in a large group
+    few = kept.where(f"size <= {SMALL_GROUP}").groupBy("sig", "odd").agg(F.sort_array(F.collect_list(F.struct("digest", "need"))).alias("own"))
+    pairs = few.select("odd", F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x.digest AS a, y.digest AS b, greatest(x.need, y.need) AS need))))")).alias("p"))
+    pairs = pairs.groupBy("odd", "p.a", "p.b").agg(F.count("*").alias("shared"), F.max("p.need").alias("need")).where("shared >= need").select("a", "b")
+    stars = kept.where(f"size > {SMALL_GROUP} and digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
+    clusters = connected_components(pairs.unionByName(stars))
     inside = clusters.withColumnsRenamed({"id": "digest", "root": "cluster"}).join(classes.where("rep is not null"), "digest")
     blocks = inside.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     inside = materialize(inside.join(blocks, "cluster").select("digest", "cluster", "rep", "copies", "blocks", F.expr("cast(pmod(xxhash64(digest), blocks) as int)").alias("block")), "clusters")
