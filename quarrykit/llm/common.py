@@ -87,7 +87,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 #: A filter of ids has at most so many bits (4 MB), whatever the number of ids.
 FILTER_BITS = 1 << 25
-_HASHED = ["__h0", "__h1"]
+_HASHED = ["__quarrykit_hash_0", "__quarrykit_hash_1"]
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:

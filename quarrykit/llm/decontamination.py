@@ -35,7 +35,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, (most + 1, -1)
+    up, down, score, best = full, 0, m, (m, 0)
     for j, c in enumerate(text):
         eq = masks.get(c, 0)
         xv = eq | down
