@@ -2,6 +2,7 @@
 
 from .dataset import Context, Dataset, DatasetBuilder, Status, create, open
 from .functions.registry import StaticPages
+from .metrics import log_metrics, metrics, set_log_level
 from .progress import set_callback as set_progress_callback
 from .session import dataset_session
 from .sources.files import random_memory_url
@@ -32,6 +33,6 @@ def to_dict(dataset):
 
 
 __all__ = [
-    "Context", "Dataset", "DatasetBuilder", "RecordBatchStream", "StaticPages", "Status", "create", "dataset_session", "open",
-    "random_memory_url", "set_progress_callback", "stream_batches", "to_dict", "to_numpy", "to_pandas", "to_polars",
+    "Context", "Dataset", "DatasetBuilder", "RecordBatchStream", "StaticPages", "Status", "create", "dataset_session", "log_metrics", "metrics", "open",
+    "random_memory_url", "set_log_level", "set_progress_callback", "stream_batches", "to_dict", "to_numpy", "to_pandas", "to_polars",
 ]

@@ -160,7 +160,8 @@ over("distinct_on", "orders", "SELECT DISTINCT ON (o_custkey) o_custkey, o_order
 
 # -- windows
 
-over("win_rank", "orders", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM bundle WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
+over("win_rank", "orders", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM bundle WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)",
+     "SELECT o_orderkey, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER w AS INT) AS rk, CAST(dense_rank() OVER w AS INT) AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
 over("win_lag", "orders", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, lead(o_totalprice, 2, 0.0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM bundle")
 over("win_rows", "orders", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS near FROM bundle")
 over("win_range", "events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM bundle")
@@ -193,7 +194,8 @@ over("unnest_array", "embeddings", "SELECT vec_id, unnest(embedding) AS x FROM b
 
 # -- functions
 
-over("fn_string", "part", "SELECT p_partkey, strpos(p_name, 'a') AS at, starts_with(p_brand, 'Brand') AS b, lpad(p_brand, 12, '*') AS padded, concat_ws('-', p_brand, p_type) AS joined, split_part(p_type, ' ', 1) AS first_word, substr(p_name, 2, 3) AS part_of, replace(p_name, 'e', '3') AS r, trim(p_name) AS t, initcap_like FROM (SELECT *, upper(left(p_name, 1)) AS initcap_like FROM bundle) x")
+over("fn_string", "part", "SELECT p_partkey, strpos(p_name, 'a') AS at, starts_with(p_brand, 'Brand') AS b, lpad(p_brand, 12, '*') AS padded, concat_ws('-', p_brand, p_type) AS joined, split_part(p_type, ' ', 1) AS first_word, substr(p_name, 2, 3) AS part_of, replace(p_name, 'e', '3') AS r, trim(p_name) AS t, initcap_like FROM (SELECT *, upper(left(p_name, 1)) AS initcap_like FROM bundle) x",
+     "SELECT p_partkey, CAST(strpos(p_name, 'a') AS INT) AS at, starts_with(p_brand, 'Brand') AS b, lpad(p_brand, 12, '*') AS padded, concat_ws('-', p_brand, p_type) AS joined, split_part(p_type, ' ', 1) AS first_word, substr(p_name, 2, 3) AS part_of, replace(p_name, 'e', '3') AS r, trim(p_name) AS t, upper(left(p_name, 1)) AS initcap_like FROM part")
 over("fn_regex", "part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#') AS once, p_name ~ '^[a-m]' AS m, p_type SIMILAR TO '%A%' AS s FROM bundle",
      "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#', 'g') AS once, regexp_matches(p_name, '^[a-m]') AS m, p_type LIKE '%A%' AS s FROM part")
 over("fn_date", "orders", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(year FROM o_orderdate) AS INT) AS year, CAST(date_part('doy', o_orderdate) AS INT) AS day, o_orderdate + INTERVAL '3' DAY AS later FROM bundle",

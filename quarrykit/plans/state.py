@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import metrics
 from ..functions.registry import FunctionRegistry
 from ..sources import readers
 from . import pruning
@@ -61,7 +62,8 @@ class State:
     def add(self, op, checked: bool = True) -> None:
         if checked:
             op.check(self)
-        op.apply(self)
+        with metrics.timed(f"operation.{op.type}"):
+            op.apply(self)
         self.operations = (*self.operations, op)
         self._df = None
 
@@ -119,13 +121,16 @@ class State:
     def dataframe(self) -> DataFrame:
         """The fold of all operations; made once for each state."""
         if self._df is None:
-            if self.base is None or not self.packs[self.base]:
-                df = self.spark.createDataFrame([], T.StructType([]))
-            else:
-                df = self.joined(pruning.files_to_read(self) if self.use_indexes else None)
-            for op in self.operations:
-                df = op.rows(df)
+            with metrics.timed("fold"):
+                if self.base is None or not self.packs[self.base]:
+                    df = self.spark.createDataFrame([], T.StructType([]))
+                else:
+                    df = self.joined(pruning.files_to_read(self) if self.use_indexes else None)
+                for op in self.operations:
+                    df = op.rows(df)
             self._df = df
+        else:
+            metrics.count("fold.reused")
         return self._df
 
     def register_tables(self) -> None:

@@ -1,0 +1,50 @@
+"""The asyncio calls, metrics and the Flight server."""
+
+import asyncio
+import threading
+
+import pytest
+
+import quarrykit as qk
+from quarrykit import aio, flight
+
+
+def test_asyncio(spark, sf, tmp_path):
+    async def run():
+        made = await aio.create(str(tmp_path), spark=spark).attach(f"{sf}/nation.parquet").filter("n_regionkey = $1", [2])
+        assert await made.num_rows() == 5 and made.status().change_count == 2
+        made = await made.rename_column("n_name", "name").commit("nations")
+        again = await aio.open(str(tmp_path), spark=spark)
+        few = await again.select("name WHERE n_nationkey > 8")
+        assert again.version == made.version and len((await few.to_dict())["name"]) <= 5
+        assert sum([b.num_rows async for b in aio.stream_batches(again)]) == 5
+        with pytest.warns(RuntimeWarning, match="never awaited"):
+            made.filter("n_nationkey = 1").__del__()
+        with pytest.raises(AttributeError):
+            aio.create(spark=spark).to_pandas
+
+    asyncio.run(run())
+
+
+def test_metrics(spark, sf):
+    made = qk.create(spark=spark).attach(f"{sf}/region.parquet")
+    before = qk.metrics().get("operation.filter", {"count": 0})["count"]
+    made.filter("r_regionkey = 1").num_rows
+    told = qk.metrics()
+    assert told["operation.filter"]["count"] == before + 1 and told["fold"]["seconds"] > 0
+    qk.set_log_level("info")
+    qk.log_metrics()
+
+
+@pytest.mark.skipif(flight.flight is None, reason="pyarrow has no Flight")
+def test_flight(spark, sf):
+    made = qk.create(spark=spark).attach(f"{sf}/nation.parquet")
+    server = flight.serve(made, "127.0.0.1", 0)
+    threading.Thread(target=server.serve, daemon=True).start()
+    try:
+        client = flight.flight.connect(f"grpc://127.0.0.1:{server.port}")
+        got = client.do_get(flight.flight.Ticket(b"SELECT n_regionkey, count(*) AS n GROUP BY n_regionkey")).read_all()
+        assert sorted(got.column("n").to_pylist()) == [5] * 5
+        assert "n_name" in client.get_schema(flight.flight.FlightDescriptor.for_command(b"x")).schema.names
+    finally:
+        server.shutdown()
