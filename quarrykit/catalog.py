@@ -3,13 +3,14 @@ query as plain SQL."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .dataset import DatasetBuilder, create, open
+from .session import dataset_session
+from .sources.files import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,20 +249,21 @@ def index_miss(spark, sf_dir):
     return _indexed(spark, sf_dir, "c_custkey").filter("c_custkey > 100000000").select("c_custkey, c_acctbal").dataframe
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="quarrykit-query-")
+def _folder(spark: SparkSession) -> str:
+    dataset_session(spark)
+    return fresh_folder(spark)
 
 
 @query("SELECT c_custkey AS id, c_name FROM customer WHERE c_acctbal > 500")
 def reopen_query(spark, sf_dir):
-    at = _folder()
+    at = _folder(spark)
     dataset(spark, sf_dir, "customer", at).filter("c_acctbal > $1", [500]).rename_column("c_custkey", "id").commit("rows")
     return open(at, spark=spark).select("id, c_name").dataframe
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 500 AND c_mktsegment = 'BUILDING'")
 def view_query(spark, sf_dir):
-    at = _folder()
+    at = _folder(spark)
     made = dataset(spark, sf_dir, "customer", at).commit("all")
     made.create_view("builders", made.select("SELECT * WHERE c_mktsegment = 'BUILDING'")).commit("view")
     # views see what their dataset gets later
@@ -271,7 +273,7 @@ def view_query(spark, sf_dir):
 
 @query("SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2")
 def extend_query(spark, sf_dir):
-    first, second = _folder(), _folder()
+    first, second = _folder(spark), _folder(spark)
     dataset(spark, sf_dir, "nation", first).filter("n_regionkey = 1").commit("region")
     open(first, spark=spark).extend(second).filter("n_nationkey > 2").commit("later")
     return open(second, spark=spark).select("n_name").dataframe
@@ -285,7 +287,7 @@ def undo_query(spark, sf_dir):
 
 @query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 0")
 def tar_query(spark, sf_dir):
-    at = f"{_folder()}/data.tar"
+    at = f"{_folder(spark)}/data.tar"
     dataset(spark, sf_dir, "region", at).filter("r_regionkey <> 0").commit("in an archive")
     return open(at, spark=spark).dataframe
 

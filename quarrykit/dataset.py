@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import getpass
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -24,7 +23,7 @@ from .plans.state import State
 from .progress import progress
 from .session import dataset_session
 from .sources import readers
-from .sources.files import Files, real, resolve
+from .sources.files import Files, fresh_folder, resolve
 from .schema import Schema
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "full outer": "full"}
@@ -378,7 +377,7 @@ class DatasetBuilder(Dataset):
         self._commits.append(commit)
         self._pending = []
         if self._tar:
-            export.pack_tar(real(self._url), self._tar)
+            export.export_tar(self.spark, self._url, self._tar)
         return self
 
     def reset(self) -> DatasetBuilder:
@@ -455,7 +454,7 @@ def create(path: str = "", config: dict | None = None, spark: SparkSession | Non
     session = dataset_session(spark)
     configure(session, {}, config)
     tar = path if path.endswith(".tar") else None
-    folder = tempfile.mkdtemp(prefix="quarrykit-") if not path or tar else path
+    folder = fresh_folder() if not path or tar else path
     return DatasetBuilder(session, folder, State(session), new_id(), [], 0, False, None, config, tar)
 
 
@@ -475,7 +474,7 @@ def _open(spark: SparkSession, path: str, state: State, config: dict | None, bel
     if path in below:
         raise ValueError(f"{path} extends itself: {' -> '.join([*below, path])}")
     tar = path if path.endswith(".tar") else None
-    folder = export.unpack_tar(path) if tar else path.rstrip("/")
+    folder = export.unpack_tar(spark, path) if tar else path.rstrip("/")
     files = Files(spark)
     init = manifest.read_init(files, folder)
     is_view = "view" in init

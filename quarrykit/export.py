@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import io
-import os
 import tarfile
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .sources.files import Files, real
+from .sources.files import Files, fresh_folder
 
 
 def batches(df: DataFrame) -> list[pa.RecordBatch]:
@@ -41,7 +40,7 @@ def to_dict(df: DataFrame) -> dict:
 
 
 def export_tar(spark: SparkSession, folder: str, path: str) -> str:
-    """All files of a dataset's folder in a tar archive; its sources are not in it."""
+    """All files of a dataset's folder in a tar archive, which is replaced at once; its sources are not in it."""
     files = Files(spark)
 
     def walk(at: str, name: str, out: tarfile.TarFile) -> None:
@@ -59,27 +58,22 @@ def export_tar(spark: SparkSession, folder: str, path: str) -> str:
                 info.size, info.mode = len(data), 0o644
                 out.addfile(info, io.BytesIO(data))
 
-    with tarfile.open(path.removeprefix("file://"), "w") as out:
-        walk(folder, "", out)
+    with tempfile.TemporaryDirectory() as own:  # the driver's own: nothing else reads it
+        with tarfile.open(f"{own}/tar", "w") as out:
+            walk(folder, "", out)
+        files.put(f"{own}/tar", path)
     return f"Exported to {path}"
 
 
-def pack_tar(folder: str, path: str) -> None:
-    """Replaces the archive at once with the folder's files."""
-    folder, path = folder.removeprefix("file://"), path.removeprefix("file://")
-    with tarfile.open(f"{path}.new", "w") as out:
-        for top, _, names in os.walk(folder):
-            for n in names:
-                if not n.startswith(".claim-") and not n.endswith(".crc"):
-                    out.add(f"{top}/{n}", os.path.relpath(f"{top}/{n}", folder))
-    os.replace(f"{path}.new", path)
-
-
-def unpack_tar(path: str) -> str:
-    at = real(path).removeprefix("file://")
-    if not os.path.exists(at):
+def unpack_tar(spark: SparkSession, path: str) -> str:
+    """An archive's files in a new folder that executors can read."""
+    files, folder = Files(spark), fresh_folder()
+    if not files.exists(path):
         raise FileNotFoundError(f"No dataset found at {path}")
-    folder = tempfile.mkdtemp(prefix="quarrykit-tar-")
-    with tarfile.open(at) as t:
-        t.extractall(folder, filter="data")
+    with tempfile.TemporaryDirectory() as own:
+        files.get(path, f"{own}/tar")
+        with tarfile.open(f"{own}/tar") as t:
+            for member in t:
+                if member.isfile() and ".." not in member.name.split("/") and not member.name.startswith("/"):
+                    files.create(f"{folder}/{member.name}", t.extractfile(member).read())
     return folder

@@ -10,23 +10,36 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_memory: dict[str, str] = {}
+_scratch: dict[str, str] = {}
 
 
-def random_memory_url() -> str:
-    return f"memory:///{uuid.uuid4().hex}"
+def use_scratch(shared: str | None) -> None:
+    """Where datasets without a place of their own are kept: a folder that all executors share."""
+    if shared:
+        _scratch["shared"] = shared.rstrip("/")
+
+
+def scratch() -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir, else a local one (one machine)."""
+    if "shared" not in _scratch:
+        _scratch["shared"] = "file://" + tempfile.mkdtemp(prefix="quarrykit-")
+    return _scratch["shared"]
+
+
+def fresh_folder() -> str:
+    return f"{scratch()}/dataset-{uuid.uuid4().hex}"
 
 
-def _memory_root() -> str:
-    if "" not in _memory:
-        _memory[""] = tempfile.mkdtemp(prefix="quarrykit-memory-")
-    return _memory[""]
+def random_memory_url() -> str:
+    return f"memory:///{uuid.uuid4().hex}"
 
 
 def real(url: str) -> str:
-    """The URL that Spark reads: memory:/// is a folder of this process, a plain path is itself."""
+    """The URL that Spark reads: memory:/// is a folder of this process's scratch, a plain path is a file."""
     if url.startswith("memory://"):
-        return f"file://{_memory_root()}/{url.removeprefix('memory://').lstrip('/')}"
+        if "memory" not in _scratch:
+            _scratch["memory"] = f"{scratch()}/memory-{uuid.uuid4().hex}"
+        return f"{_scratch['memory']}/{url.removeprefix('memory://').lstrip('/')}"
     if "://" not in url:
         return "file://" + os.path.abspath(url)
     return url
@@ -81,6 +94,19 @@ class Files:
         finally:
             out.close()
 
+    def put(self, local: str, url: str) -> None:
+        """A local file of the driver to a new or replaced one: beside it first, then renamed over it."""
+        fs, path = self._at(url)
+        beside = self._at(f"{real(url)}.new")[1]
+        fs.copyFromLocalFile(True, True, self._at(f"file://{local}")[1], beside)
+        fs.delete(path, False)
+        if not fs.rename(beside, path):
+            raise OSError(f"{url} can't be written")
+
+    def get(self, url: str, local: str) -> None:
+        fs, path = self._at(url)
+        fs.copyToLocalFile(False, path, self._at(f"file://{local}")[1], True)
+
     def delete(self, url: str) -> None:
         fs, path = self._at(url)
         fs.delete(path, True)
@@ -96,4 +122,6 @@ class Files:
         else:
             found = [status]
         told = sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in found)
-        return hashlib.sha256(repr(told).encode()).hexdigest()[:16], sum(t[2] for t in told)
+        whole = fs.getContentSummary(path)
+        told.append((whole.getFileCount(), whole.getLength()))
+        return hashlib.sha256(repr(told).encode()).hexdigest()[:16], whole.getLength()

@@ -52,7 +52,8 @@ def scan(spark: SparkSession, url: str, schema: T.StructType | None, functions:
     reader = spark.read if schema is None else spark.read.schema(schema)
     at = files or [real(url)]
     if kind == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=True)
+        # lines are records, so that a large file is read by many tasks
+        reader = reader.options(header=True, quote='"', escape='"', enforceSchema=True)
         return (reader if schema is not None else reader.option("inferSchema", True)).csv(at)
     if kind == "json":
         return reader.json(at)
@@ -67,7 +68,11 @@ def _json_order(spark: SparkSession, url: str, schema: T.StructType) -> T.Struct
     return T.StructType([by[n] for n in order if n in by] + [f for f in schema if f.name not in order])
 
 
-def describe(spark: SparkSession, url: str, functions: FunctionRegistry, count: bool = True) -> Described:
+#: Rows of text sources are counted at attach up to this size; Parquet's are in its footers.
+COUNTED_BYTES = 1 << 30
+
+
+def describe(spark: SparkSession, url: str, functions: FunctionRegistry) -> Described:
     """Schema, version and sizes of a source. A missing file or function is an error here."""
     kind = kind_of(url)
     if kind == "function":
@@ -81,5 +86,5 @@ def describe(spark: SparkSession, url: str, functions: FunctionRegistry, count:
     if kind == "json":
         schema = _json_order(spark, url, schema)
     schema = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
-    rows = scan(spark, url, schema, functions).agg(F.count("*")).first()[0] if count else None
+    rows = scan(spark, url, schema, functions).agg(F.count("*")).first()[0] if kind == "parquet" or size <= COUNTED_BYTES else None
     return Described(schema, version, rows, size)
