@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,22 +106,25 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     own, equal rows too. Full items have sequences of their own."""
 
     def shard(level: int, last: bool):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
+        def run(rows: pa.Table) -> pa.Table:
             where, offset, open_ = pack_rounds(rows["length"].to_numpy(), capacity)
-            number = (np.int64(level) << 58) | (np.int64(rows["shard"].iloc[0]) << 30)
-            return rows.assign(sequence_id=number + where, offset=offset, open=open_ & (not last))
+            number = level << 58 | rows["shard"][0].as_py() << 30
+            for name, values in (("sequence_id", where + number), ("offset", offset), ("open", open_ & (not last))):
+                rows = rows.append_column(name, pa.array(values))
+            return rows
 
         return run
 
-    columns = [c for c in items.columns]
+    columns = items.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", shard long, sequence_id long, offset long, open boolean"
     width = partitions(items.sparkSession)
     items = materialize(items, "pieces")
     shards = max(1, -(-items.count() // SHARD))
-    todo = items.withColumn("shard", F.pmod(F.xxhash64(*columns), F.lit(shards)))
+    # the row's own number keeps equal rows, however many, from one shard
+    todo = items.withColumn("shard", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(shards)))
     done, level = None, 0
     while True:
-        packed = materialize(todo.repartition(min(width, shards) if shards < width else width, "shard").groupBy("shard").applyInPandas(shard(level, shards == 1), schema), "packed")
+        packed = materialize(todo.repartition(min(width, shards) if shards < width else width, "shard").groupBy("shard").applyInArrow(shard(level, shards == 1), schema), "packed")
         closed = packed.where("not open").select(*columns, "sequence_id", "offset")
         done = closed if done is None else done.unionByName(closed)
         if shards == 1:
