@@ -3,7 +3,8 @@
 Texts and items are normalised: lower case, runs of other characters than letters and digits one space. An
 item of m characters that occurs in a text with at most e edits is cut into e+1 pieces; one of them occurs
 unchanged. An automaton finds all pieces of all items in one pass over a text, and Myers' bit-parallel
-distance verifies the item around every hit.
+distance verifies the item around every hit. Most chance hits never get that far: an edit spoils at most GRAM
+of the item's character grams, so all others must occur in the text around the hit.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OTHER = re.compile(r"[\W_]+")
+GRAM = 4
+#: Edits for each character of an item that still count as the item.
+RATE = 0.08
 #: Characters of item text that one automaton holds; more items are searched in further passes.
 BLOCK = 4_000_000
 
@@ -72,7 +76,8 @@ class Matcher:
             if not text:
                 continue
             most = int(self.rate * (len(text) - 2))
-            self.items.append((key, text, most))
+            grams = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+            self.items.append((key, text, most, grams, len(grams) - GRAM * most))
             cuts = [len(text) * i // (most + 1) for i in range(most + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 at.setdefault(text[a:b], []).append((len(self.items) - 1, b))
@@ -95,7 +100,7 @@ class Matcher:
                 starts.setdefault(item, set()).add(end + 1 - b)
         out = []
         for item, found in starts.items():
-            key, pattern, most = self.items[item]
+            key, pattern, most, grams, needed = self.items[item]
             best, spans = None, []
             for s in sorted(found):
                 if s >= 0 and text.startswith(pattern, s):
@@ -108,7 +113,11 @@ class Matcher:
                     spans.append([a, b])
             if best is None:
                 for a, b in spans:
-                    hit = myers(pattern, text[a:b], most if best is None else best[0] - 1)
+                    window = text[a:b]
+                    near = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
+                    if sum(g in near for g in grams) < needed:
+                        continue
+                    hit = myers(pattern, window, most if best is None else best[0] - 1)
                     if hit:
                         best = (hit[0], a + hit[1])
             if best:
@@ -126,7 +135,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [tuple(r) for r in part.collect()]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, end) of every document that holds a benchmark item with at most ``rate``
     edits a character. Null and wordless texts and items match nothing; an item stands as often as its row
     does; repeated documents match each; empty tables give no rows."""
@@ -147,7 +156,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, rate: float = 0.06
     return out
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     for items in item_blocks(benchmark):
         matcher = Matcher(items, rate)

@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The k-grams are of words (runs of characters other than white space, lower-cased): every k consecutive
-words are hashed, and of each window of w consecutive k-grams the one with the smallest hash is chosen, the
+The k-grams are of words (lower-cased runs of up to 32 characters other than white space; a character of a
+script that is written without spaces is a word of its own): every k consecutive words are hashed, and of each window of w consecutive k-grams the one with the smallest hash is chosen, the
 rightmost of equal ones. Any w + k - 1 words that two texts share in the same order make them share a
 chosen hash, and no match shorter than k words is seen. Positions (of the k-gram's first word) are kept.
 
@@ -17,7 +17,10 @@ from pyspark.sql.window import Window
 
 from .common import bucket_of, partitions
 
-PLACE = 24  # bits of a position: texts of up to 16 million words
+PLACE = 24  # bits of a position: beyond 16 million words they start anew
+# What separates words, and the blocks of Thai, Lao, kana, Han and Hangul.
+SPACES, UNSPACED = r"\x00-\x20\x85\xA0", r"\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
+WORD = f"[{UNSPACED}]|[^{SPACES}{UNSPACED}]{{1,32}}"
 
 
 def _minimum(array: str, size: int) -> str:
@@ -32,23 +35,22 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4) -> DataFr
     than w k-grams, one window."""
     columns = df.columns
     words, grams = f"__{out}_words", f"__{out}_grams"
-    split = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x20\x85\xA0]+", " ")), " ")
+    split = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
     df = df.withColumn(words, F.transform(split, lambda x: F.xxhash64(x)))
-    parts = ", ".join([f"x", *(f"get(`{words}`, i + {j})" for j in range(1, k))])
+    parts = ", ".join(["x", *(f"get(`{words}`, i + {j})" for j in range(1, k))])
     complement = (1 << PLACE) - 1
     df = df.select(
         *columns,
         F.expr(
-            f"""transform(slice(`{words}`, 1, greatest(size(`{words}`) - {k - 1}, 1)),
-            (x, i) -> (shiftleft(xxhash64({parts}) & {(1 << 39) - 1}L, {PLACE}) | ({complement} - i)))"""
+            f"""transform(slice(`{words}`, 1, greatest(size(`{words}`) - {k - 1}, least(size(`{words}`), 1))),
+            (x, i) -> (shiftleft(xxhash64({parts}) & {(1 << 39) - 1}L, {PLACE}) | ({complement} - (i & {complement}))))"""
         ).alias(grams),
-        (F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x20\x85\xA0]+", " "))) > 0).alias(words),
     )
     size, name = 1, grams
     while size < w:
         df = df.withColumn(f"{grams}{size}", F.expr(_minimum(f"`{name}`", size)))
         size, name = size * 2, f"{grams}{size}"
-    chosen = F.when(~F.col(words), F.array().cast("array<bigint>")).when(F.size(grams) >= w, F.array_distinct(name)).otherwise(F.array(F.array_min(grams)))
+    chosen = F.when(F.size(grams) >= w, F.array_distinct(name)).when(F.size(grams) > 0, F.array(F.array_min(grams))).otherwise(F.array().cast("array<bigint>"))
     return df.select(*columns, chosen.alias(out))
 
 
