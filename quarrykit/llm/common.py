@@ -113,6 +113,13 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
+def sliced(batches, rows: int = 512):
+    """Batches in small slices, so that what is made of one is small beside it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_hashes(df: DataFrame, name: str) -> DataFrame:
     """Adds the two hashes that id_filter uses."""
     return df.withColumns({c: F.xxhash64(name, F.lit(i)) for i, c in enumerate(_HASHED)})
@@ -136,7 +143,7 @@ def without(df: DataFrame, name: str, gone: DataFrame) -> DataFrame:
 
     def run(wanted: bool):
         def each(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = batch.filter(pa.array(maybe_in(batch, held.value) == wanted))
                 if rows.num_rows:
                     yield rows.select(columns)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 OTHER = re.compile(r"[\W_]+")
 GRAM = 4
 #: Edits for each character of an item that still count as the item.
@@ -162,7 +164,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = RATE
         matcher = Matcher(items, rate)
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher.matches(text.as_py()) for text in batch.column("text")], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 ORDERS, BUCKETS = 3, 1 << 15
@@ -116,7 +118,7 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.5) -> D
     held = documents.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             judged = [predict(held.value, t.as_py()) for t in batch.column("text")]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in judged], pa.bool_()))
 

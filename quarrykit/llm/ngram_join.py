@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, id_filter, materialize, maybe_in, partitions, with_hashes, without
+from .common import connected_components, id_filter, materialize, maybe_in, partitions, sliced, with_hashes, without
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -198,8 +198,9 @@ def digest(elements: np.ndarray) -> int:
     return int(mix(both).sum(dtype=U).view(np.int64))
 
 
-def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    """The texts' bytes; each is copied only when it is asked for."""
+    return batch.column("text").cast(pa.binary())
 
 
 #: About so many bytes of text are worked on between two results.
@@ -215,8 +216,9 @@ def _sketches(k: int, scheme: PartEnum, sign: bool):
             while at < len(texts):
                 begin, size, rows = at, 0, []
                 while at < len(texts) and size < FLUSH:
-                    size += len(texts[at] or b"")
-                    elements = shingle_set(texts[at], k)
+                    text = texts[at].as_py()
+                    size += len(text or b"")
+                    elements = shingle_set(text, k)
                     key = digest(elements)
                     at += 1
                     if not sign:
@@ -244,7 +246,7 @@ def _sketches(k: int, scheme: PartEnum, sign: bool):
 
 def _possible(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.filter(pa.array(maybe_in(batch, held.value)))
             if rows.num_rows:
                 yield rows.select(["doc_id", "text"])
@@ -311,7 +313,7 @@ def _verify(k: int, num: int, den: int):
                     if rows:
                         out.append(judged(rows))
                     unit, rows = (cluster, b0, b1), {}
-                elements = shingle_set(text, k)
+                elements = shingle_set(text.as_py(), k)
                 if digest(elements) == key:  # not so for another text under the same doc_id
                     rows[key] = (elements, copies, block)
             if len(out) > 100:
