@@ -454,7 +454,7 @@ def create(path: str = "", config: dict | None = None, spark: SparkSession | Non
     session = dataset_session(spark)
     configure(session, {}, config)
     tar = path if path.endswith(".tar") else None
-    folder = fresh_folder() if not path or tar else path
+    folder = fresh_folder() if not path or tar or path.startswith("empty:") else path
     return DatasetBuilder(session, folder, State(session), new_id(), [], 0, False, None, config, tar)
 
 

@@ -4,48 +4,44 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from .sqltext import significant, tokenize
+from .sqltext import Token, complete, significant, split_arguments, tokenize
 
 if TYPE_CHECKING:
     from .pruning import Bound
     from .state import State
 
 
-def _plain_select(sql: str) -> tuple[dict[str, str] | None, str | None]:
-    """Of a query over ``bundle`` alone: output names to columns (None: all, unchanged), and its WHERE."""
-    from .sqltext import complete, render
+ENDS = {"GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "WINDOW", "QUALIFY", "UNION", "INTERSECT", "EXCEPT", "WHERE"}
+
+
+def _plain_name(t: Token) -> str | None:
+    return t.text[1:-1] if t.kind == "name" else t.text if t.kind == "word" else None
 
+
+def _plain_select(sql: str) -> tuple[dict[str, str] | None, str | None]:
+    """Of a query over ``bundle`` alone: output names to columns (None: all, unchanged), and its WHERE. Of
+    any other query: no columns, no WHERE."""
     tokens = significant(tokenize(complete(sql)))
     words = [t.upper for t in tokens]
     if words[0] != "SELECT" or words.count("SELECT") != 1 or words.count("FROM") != 1 or "JOIN" in words or "DISTINCT" in words:
         return {}, None
     source = words.index("FROM")
-    if tokens[source + 1].text != "bundle":
-        return {}, None
     rest = source + 2
-    ends = {"GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "WINDOW", "QUALIFY", "UNION", "INTERSECT", "EXCEPT", "WHERE"}
-    if rest < len(tokens) and words[rest] not in ends:
+    if tokens[source + 1].text != "bundle" or (rest < len(tokens) and words[rest] not in ENDS):
         return {}, None
     where = None
     if rest < len(tokens) and words[rest] == "WHERE":
-        end = next((i for i in range(rest + 1, len(tokens)) if words[i] in ends), len(tokens))
+        end = next((i for i in range(rest + 1, len(tokens)) if words[i] in ENDS), len(tokens))
         where = " ".join(t.text for t in tokens[rest + 1 : end])
-        where = where.replace(" . ", ".")
-        del render
-    names: dict[str, str] = {}
     listed = tokens[1:source]
     if [t.text for t in listed] == ["*"]:
         return None, where
-    from .sqltext import split_arguments
-
-    def plain(t):
-        return t.text[1:-1] if t.kind == "name" else t.text if t.kind == "word" else None
-
+    names: dict[str, str] = {}
     for item in split_arguments(listed):
-        if len(item) == 1 and plain(item[0]):
-            names[plain(item[0])] = plain(item[0])
-        elif len(item) in (2, 3) and plain(item[0]) and plain(item[-1]) and (len(item) == 2 or item[1].upper == "AS"):
-            names[plain(item[-1])] = plain(item[0])
+        if len(item) == 1 and _plain_name(item[0]):
+            names[_plain_name(item[0])] = _plain_name(item[0])
+        elif len(item) in (2, 3) and _plain_name(item[0]) and _plain_name(item[-1]) and (len(item) == 2 or item[1].upper == "AS"):
+            names[_plain_name(item[-1])] = _plain_name(item[0])
     return names, where
 
 

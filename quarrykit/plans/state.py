@@ -95,7 +95,7 @@ class State:
         for i, t in enumerate(tokens):
             before = significant(tokens[:i])[-1:]
             after = significant(tokens[i + 1 :])[:1]
-            if t.text == "$" or (t.kind == "op" and t.text == "$"):
+            if t.kind == "op" and t.text == "$":  # of $base
                 continue
             column = t.text[1:-1] if t.kind == "name" else t.text
             if t.kind in ("word", "name") and not (before and before[0].text == ".") and not (after and after[0].text in ".("):
