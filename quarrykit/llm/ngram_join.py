@@ -254,9 +254,9 @@ def _possible(held):
     return run
 
 
-def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], num: int, den: int) -> tuple[list[int], list[int]]:
-    """For each set a root (an index) and the weight of all sets it is linked with. Sides: with two of
-    them, only pairs of different sides are compared (the other pairs belong to other blocks)."""
+def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], across: bool, num: int, den: int) -> tuple[list[int], list[int]]:
+    """For each set a root (an index) and the weight of all sets it is linked with. across: only pairs of
+    different sides are compared (the other pairs belong to other units)."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), size)
@@ -272,7 +272,7 @@ def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], num:
     groups = group[keep][back]
     cut = np.searchsorted(owner[keep][back], np.arange(n + 1))
     root, total = list(range(n)), [0] * n
-    weight, side, two = np.array(weights), np.array(sides), len(set(sides)) > 1
+    weight, side = np.array(weights), np.array(sides)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -287,7 +287,7 @@ def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], num:
         common = np.bincount(np.concatenate([owner[first[g] : last[g]] for g in mine]), minlength=n)
         linked = den * common >= num * (size[i] + size - common)
         linked[i] = False
-        if two:
+        if across:
             linked &= side != side[i]
         for j in np.flatnonzero(linked):
             a, b = find(i), find(int(j))
@@ -299,9 +299,9 @@ def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], num:
 def _verify(k: int, num: int, den: int):
     schema = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
-    def judged(rows: dict[int, tuple]) -> pa.RecordBatch:
+    def judged(unit: tuple, rows: dict[int, tuple]) -> pa.RecordBatch:
         keys = list(rows)
-        roots, totals = links_of([r[0] for r in rows.values()], [r[1] for r in rows.values()], [r[2] for r in rows.values()], num, den)
+        roots, totals = links_of([r[0] for r in rows.values()], [r[1] for r in rows.values()], [r[2] for r in rows.values()], unit[1] != unit[2], num, den)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([keys[r] for r in roots], pa.int64()), pa.array(totals, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,7 @@ def _verify(k: int, num: int, den: int):
             for text, cluster, b0, b1, key, copies, block in zip(_texts(batch), *cols, strict=True):
                 if (cluster, b0, b1) != unit:
                     if rows:
-                        out.append(judged(rows))
+                        out.append(judged(unit, rows))
                     unit, rows = (cluster, b0, b1), {}
                 elements = shingle_set(text.as_py(), k)
                 if digest(elements) == key:  # not so for another text under the same doc_id
@@ -320,7 +320,7 @@ def _verify(k: int, num: int, den: int):
                 yield from out
                 out = []
         if rows:
-            out.append(judged(rows))
+            out.append(judged(unit, rows))
         yield from out
 
     return run
