@@ -251,7 +251,7 @@ def index_miss(spark, sf_dir):
 
 def _folder(spark: SparkSession) -> str:
     dataset_session(spark)
-    return fresh_folder(spark)
+    return fresh_folder()
 
 
 @query("SELECT c_custkey AS id, c_name FROM customer WHERE c_acctbal > 500")
