@@ -328,8 +328,9 @@ def _verify(k: int, num: int, den: int):
 
 #: Of signatures that at most so many sets share, the pairs of sets are counted; larger groups are linked as stars.
 SMALL_GROUP = 32
-#: A block of a cluster holds about so many elements.
-BLOCK = 400_000
+#: A cluster is cut into blocks of FINE elements as long as that makes at most MANY of them, so that tasks
+#: share its work; larger clusters have larger blocks, of BLOCK elements at most: two fit in memory.
+FINE, MANY, BLOCK = 50_000, 16, 1_000_000
 
 
 def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -364,7 +365,7 @@ def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int
     stars = kept.where(f"size > {SMALL_GROUP} and digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
     clusters = connected_components(pairs.unionByName(stars))
     inside = clusters.withColumnsRenamed({"id": "digest", "root": "cluster"}).join(classes.where("rep is not null"), "digest")
-    blocks = inside.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.least(F.ceil(F.sum("n") / FINE), F.lit(MANY))).cast("int").alias("blocks"))
     inside = materialize(inside.join(blocks, "cluster").select("digest", "cluster", "rep", "copies", "blocks", F.expr("cast(pmod(xxhash64(digest), blocks) as int)").alias("block")), "clusters")
 
     # texts outside all clusters are left out before they are hashed a second time

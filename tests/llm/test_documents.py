@@ -66,6 +66,7 @@ def test_join_finds_every_link(frame, odd_documents):
 def test_join_in_blocks(frame, odd_documents, monkeypatch):
     """Clusters that are cut into many blocks, and signature groups that are all linked as stars."""
     monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    monkeypatch.setattr(ngram_join, "FINE", 60)
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", 1)
     assert joined(ngram_join.ngram_jaccard_join(frame(DOCS, odd_documents))) == brute_components(odd_documents)
 
