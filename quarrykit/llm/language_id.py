@@ -20,6 +20,11 @@ MOST_LABELLED = 50_000
 CHUNK = 1 << 20
 
 
+def has_letter(text: str | None) -> bool:
+    """Signs such as ² are words to a pattern but no letters."""
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def grams(text: str) -> Iterator[np.ndarray]:
     """Hashed 1- to 3-grams of the lower-cased letters, words apart by one space, in chunks of bounded size."""
     points = np.frombuffer(OTHER.sub(" ", f" {text} ".lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -53,7 +58,7 @@ class Model:
 def predict(parts: tuple[list[str], np.ndarray, np.ndarray], text: str | None) -> tuple[str, float]:
     """The likeliest language and its posterior probability; ('und', 0) for null or without letters."""
     langs, prior, table = parts
-    if not text or not langs or not LETTER.search(text):
+    if not langs or not has_letter(text):
         return "und", 0.0
     score = prior.copy()
     for h in grams(text):
@@ -78,7 +83,7 @@ def train(documents: DataFrame, most: int = MOST_LABELLED) -> Model:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                if not LETTER.search(text.as_py()):
+                if not has_letter(text.as_py()):
                     continue
                 own = total.setdefault(lang, np.zeros(ORDERS * BUCKETS + 1, np.int64))
                 own[-1] += 1

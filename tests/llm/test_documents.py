@@ -398,7 +398,7 @@ def sample(rng, lang, n):
 def test_language_id(frame):
     rng = random.Random(4)
     rows = [(i, sample(rng, lang := rng.choice(["en", "de", "fr"]), rng.randrange(8, 60)), lang) for i in range(600)]
-    odd = [(1000, None, "en"), (1001, "", None), (1002, "12 !!", "de"), (1003, "the and", None), (None, "eau", None), (1004, "ein " * 400_000, None), (1, rows[1][1], rows[1][2])]
+    odd = [(1000, None, "en"), (1001, "", None), (1002, "12 !! ½²", "de"), (1003, "the and", None), (None, "eau", None), (1004, "ein " * 400_000, None), (1, rows[1][1], rows[1][2])]
     documents = frame("doc_id long, text string, lang string", rows + odd)
     model = language_id.train(documents)
     got = language_id.identify(documents, model).collect()

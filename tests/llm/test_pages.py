@@ -171,6 +171,7 @@ def test_filter_stays_in_the_jvm(spark, sf):
         ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a b 1 2"),
         ("<ARTICLE><P CLASS=\"lead\" HIDDEN>no</P><P>1 < 2 & 3 &lt; 4</P></ARTICLE>", "1 < 2 & 3 < 4"),
         ("<article>x</article><div>after</div>", "x"),
+        ("<div class=site-header>Site</div><article><div class=post-header><h1>T</h1></div>x<div class=share-bar>s</div></article>", "T x"),
         ("<article><p>a</div></span>b</article>", "ab"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
         ("<title>t</title><p>a&nbsp;b", "a b"),
