@@ -83,27 +83,21 @@ def with_next(df: DataFrame, key: str, prepare) -> tuple[DataFrame, Window]:
     cut = df.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 20 * wanted).alias("cut")).first().cut
     bounds = sorted(set(cut or []))
     bucket = bucket_of(F.col(key), bounds)
-    first = {r.b: r.k for r in df.select(bucket.alias("b"), F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key")).alias("k")).groupBy("b").agg(F.min("k").alias("k")).collect()}
-    full = sorted(first)
-    spots = F.array(bucket.alias("b"))
-    if full:
-        before = {b: full[i - 1] for i, b in enumerate(full)}
-        previous, is_first = F.lit(None).cast("int"), F.lit(False)
-        known = {first[b].key: before[b] for b in full if first[b].known}
-        lows = sorted(known)
-        nth = bucket_of(F.col(key), lows)
-        # the nth of the lowest keys is at most the key: the key is the lowest of its bucket if they are equal
-        low = F.element_at(F.array(*map(F.lit, lows)), nth) if lows else F.lit(None)
-        to = F.element_at(F.array(*(F.lit(known[x]) for x in lows)), nth) if lows else F.lit(None)
-        is_first = F.when(nth > 0, low == F.col(key)).otherwise(F.lit(False)) if lows else is_first
-        previous = F.when(is_first, to) if lows else previous
-        if any(not first[b].known for b in full):  # null keys are the lowest of all
-            b = min(full)
-            is_first = F.when(F.col(key).isNull(), F.lit(True)).otherwise(is_first)
-            previous = F.when(F.col(key).isNull(), F.lit(before[b])).otherwise(previous)
-        spots = F.when(F.coalesce(is_first, F.lit(False)), F.array(F.struct(bucket.alias("b"), F.lit(0).alias("g")), F.struct(previous.alias("b"), F.lit(1).alias("g")))).otherwise(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("g"))))
-    else:
-        spots = F.array(F.struct(bucket.alias("b"), F.lit(0).alias("g")))
+    low = F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"))).alias("low")
+    lowest = {r.b: r.low for r in df.groupBy(bucket.alias("b")).agg(low).collect()}
+    full = sorted(lowest)
+    before = {b: full[i - 1] for i, b in enumerate(full)}
+    # the rows with their bucket's lowest key go to the bucket before it too
+    lows = sorted((lowest[b].key, before[b]) for b in full if lowest[b].known)
+    previous = F.lit(None).cast("int")
+    if lows:
+        nth = bucket_of(F.col(key), [k for k, _ in lows]) - 1
+        at = lambda values: F.get(F.array(*map(F.lit, values)), nth)
+        previous = F.when(at([k for k, _ in lows]) == F.col(key), at([b for _, b in lows]))
+    if any(not lowest[b].known for b in full):
+        previous = F.when(F.col(key).isNull(), F.lit(before[full[0]])).otherwise(previous)
+    own, ghost = F.struct(bucket.alias("b"), F.lit(0).alias("g")), F.struct(previous.alias("b"), F.lit(1).alias("g"))
+    spots = F.when(previous.isNotNull(), F.array(own, ghost)).otherwise(F.array(own))
     columns = df.columns
     dealt = df.withColumn("__at", F.explode(spots)).select(*columns, F.col("__at.b").alias("__bucket"), F.col("__at.g").alias("__ghost"))
     order = ["__ghost", key, *(c for c in columns if c != key)]
