@@ -113,25 +113,26 @@ def train(labelled: DataFrame, rounds: int = 8, depth: int = 2, rate: float = 0.
         tree = {"splits": {}, "values": {}}
         p = F.lit(1.0) / (1 + F.exp(-model.margin()))
         scored = cells.select(*names, (F.col("bad") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+        totals: dict[int, tuple[float, float]] = {}  # of each node: all its rows' gradients
         for level in range(depth):
             each = scored.select(model.node(tree).alias("node"), "g", "h", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).alias("bin")) for i, c in enumerate(names)))).alias("x"))
             sums = each.groupBy("node", "x.f", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             for node in {r.node for r in sums if r.node >= 1 << level}:
-                best = (1e-6, None, None)
+                best = (1e-6, None, None, None)
                 for f in range(len(names)):
                     rows = sorted((r.bin, r.g, r.h) for r in sums if r.node == node and r.f == f)
-                    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
+                    g, h = totals.setdefault(node, (sum(r[1] for r in rows), sum(r[2] for r in rows)))
                     gain = lambda a, b: a * a / (b + smooth)
                     a = b = 0.0
                     for bin_, x, y in rows[:-1]:
                         a, b = a + x, b + y
                         got = round(gain(a, b) + gain(g - a, h - b) - gain(g, h), 6)
                         if got > best[0]:
-                            best = (got, names[f], bin_)
+                            best = (got, names[f], bin_, ((a, b), (g - a, h - b)))
                 if best[1]:
-                    tree["splits"][node] = best[1:]
-        leaves = scored.groupBy(model.node(tree).alias("node")).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        tree["values"] = {r.node: round(rate * r.g / (r.h + smooth), 9) for r in leaves}
+                    tree["splits"][node] = best[1:3]
+                    totals[2 * node], totals[2 * node + 1] = best[3]
+        tree["values"] = {n: round(rate * g / (h + smooth), 9) for n, (g, h) in totals.items() if n not in tree["splits"]}
         model.trees.append(tree)
     return model
 
