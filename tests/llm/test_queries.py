@@ -2,12 +2,13 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from quarrykit.llm.decontamination import normalise
-from quarrykit.llm.queries import QUERIES
+from quarrykit.llm.queries import ORACLES, QUERIES
 
 ROWS = {"op1_warc": "pages", "op3_url_filter": "pages", "op4_ngram_jaccard_join": "documents", "op5_winnowing": "documents", "op6_token_counts": "documents", "op7_html_extraction": "pages", "op10_language_id": "documents"}
 COLUMNS = {
@@ -35,6 +36,17 @@ def test_whole_tables(name, spark, sf):
         assert Counter(r[0] for r in got.select(key).collect()) == want
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(name, spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    got = QUERIES[name](spark, sf)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_languages_held_out(spark, sf):
     told = entry.queries()["op10_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(told) > 30 and sum(r.lang == r.lang_pred for r in told) >= 0.97 * len(told)
