@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The k-grams are of words (lower-cased runs of up to 32 characters other than white space; a character of a
-script that is written without spaces is a word of its own): every k consecutive words are hashed, and of each window of w consecutive k-grams the one with the smallest hash is chosen, the
+The k-grams are of words (lower-cased runs of characters other than white space; a character of a script that
+is written without spaces is a word of its own): every k consecutive words are hashed, and of each window of w consecutive k-grams the one with the smallest hash is chosen, the
 rightmost of equal ones. Any w + k - 1 words that two texts share in the same order make them share a
 chosen hash, and no match shorter than k words is seen. Positions (of the k-gram's first word) are kept.
 
@@ -20,7 +20,7 @@ from .common import bucket_of, partitions
 PLACE = 24  # bits of a position: beyond 16 million words they start anew
 # What separates words, and the blocks of Thai, Lao, kana, Han and Hangul.
 SPACES, UNSPACED = r"\x00-\x20\x85\xA0", r"\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
-WORD = f"[{UNSPACED}]|[^{SPACES}{UNSPACED}]{{1,32}}"
+WORD = f"[{UNSPACED}]|[^ {UNSPACED}]+"
 
 
 def _minimum(array: str, size: int) -> str:
@@ -34,9 +34,11 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4) -> DataFr
     w is a power of 2. Null and blank texts have none; a text of fewer than k words is one k-gram; of fewer
     than w k-grams, one window."""
     columns = df.columns
-    words, grams = f"__{out}_words", f"__{out}_grams"
-    split = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    df = df.withColumn(words, F.transform(split, lambda x: F.xxhash64(x)))
+    flat, words, grams = (f"__{out}_{x}" for x in ("flat", "words", "grams"))
+    df = df.withColumn(flat, F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACES}]+", " ")))
+    split = F.when(F.col(flat).rlike(f"[{UNSPACED}]"), F.regexp_extract_all(flat, F.lit(WORD), F.lit(0))).otherwise(F.split(flat, " "))
+    split = F.when(F.col(flat) == "", F.array().cast("array<string>")).otherwise(split)
+    df = df.select(*columns, F.transform(split, lambda x: F.xxhash64(x)).alias(words))
     parts = ", ".join(["x", *(f"get(`{words}`, i + {j})" for j in range(1, k))])
     complement = (1 << PLACE) - 1
     df = df.select(

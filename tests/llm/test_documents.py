@@ -209,7 +209,7 @@ def test_contamination_in_blocks_and_of_nothing(frame, monkeypatch):
 
 def brute_winnow(text, k, w):
     """Choices by position only: hashes come from the operator's own k-gram column."""
-    x = [m for m in re.findall(r"[^\x00-\x20\x85\xa0]{1,32}", (text or "").lower())]
+    x = re.findall(r"[^\x00-\x20\x85\xa0]+", (text or "").lower())
     return [tuple(x[i : i + k]) for i in range(max(1, len(x) - k + 1))] if x else []
 
 
