@@ -234,6 +234,31 @@ def test_wrappers_are_induced(frame, article):
     assert hx.main_text(frame(PAGES, [])).collect() == []
 
 
+LEGAL = "All rights kept. No part of this site may be copied, stored or sent on without the written leave of its owners. " * 2
+NOTICE = "This site keeps small files on your machine so that it knows you when you come back another day, and for nothing else at all."
+
+
+def heavy(text, title="Title"):
+    """More unmarked template than article."""
+    return f"<body><div><span>{NOTICE}</span></div><div><h2>{title}</h2><p>{text}</p></div><div><b>{LEGAL}</b></div></body>"
+
+
+def test_templates_that_outweigh_articles(frame):
+    rng = random.Random(9)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(20)]
+    rows = [(i, f"http://one.example/{i}", heavy(t, f"Title {t.split()[0]}")) for i, t in enumerate(prose)]
+    by = {r.page_id: r.text for r in hx.main_text(frame(PAGES, rows)).collect()}
+    assert len(LEGAL) + len(NOTICE) > 2 * max(map(len, prose)) and all(by[i] == f"Title {t.split()[0]} {t}" for i, t in enumerate(prose))
+
+
+def test_copies_are_no_references():
+    """Pages that differ by a count, a date or an edited word don't make each other's article template."""
+    text = " ".join(f"w{i}" for i in range(40))
+    page = lambda n, more="": hx.Reference(hx.content_trees(f"<div><h2>One title</h2><p>{text}{more}</p><div>Seen {n} times since {n}-05</div><div>Rights</div></div>"))
+    copies = [page(n) for n in range(6)] + [page(7, " edited")]
+    assert all(hx.extract(p, copies) == " ".join(p.texts) for p in copies)
+
+
 def test_hot_hosts_are_dealt_out(frame):
     rng = random.Random(7)
     made = [site(rng, i) for i in range(400)]
