@@ -259,6 +259,30 @@ def test_copies_are_no_references():
     assert all(hx.extract(p, copies) == " ".join(p.texts) for p in copies)
 
 
+def test_references_are_distinct_pages(frame, spark):
+    """Copies that fill a host, and hosts of two or three pages, keep no template; the deal changes no text."""
+    rng = random.Random(10)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    of = lambda host, k, i: (1000 * k + i, f"http://{host}.example/{i}", heavy(prose[i], f"Title {prose[i][:5]}"))
+    rows = [of("filled", 1, i) for i in range(12)] + [(5000 + i, f"http://filled.example/copy{i}", heavy(prose[0], f"Title {prose[0][:5]}")) for i in range(400)]
+    rows += [of("three", 2, i) for i in (20, 21, 22)] + [of("two", 3, i) for i in (30, 31)]
+    found = []
+    for width in ("4", "1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        try:
+            found.append({r.page_id: r.text for r in hx.main_text(frame(PAGES, rows)).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {i: f"Title {prose[at][:5]} {prose[at]}" for i, at in ((i, 0 if i >= 5000 else i % 1000) for i, _, _ in rows)}
+    assert found == [want] * 3
+
+
+def test_lines_that_some_pages_share_stay():
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    made = [hx.Reference(hx.content_trees(f"<article><h1>{'One common line' if i < 6 else text(-i)}</h1><p>{text(i)}</p></article>")) for i in range(16)]
+    assert all(hx.extract(p, made) == " ".join(p.texts) for p in made)
+
+
 def test_hot_hosts_are_dealt_out(frame):
     rng = random.Random(7)
     made = [site(rng, i) for i in range(400)]
