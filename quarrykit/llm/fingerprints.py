@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The k-grams are of words (lower-cased runs of characters other than white space; a character of a script that
-is written without spaces is a word of its own): every k consecutive words are hashed, and of each window of w consecutive k-grams the one with the smallest hash is chosen, the
-rightmost of equal ones. Any w + k - 1 words that two texts share in the same order make them share a
-chosen hash, and no match shorter than k words is seen. Positions (of the k-gram's first word) are kept.
+The k-grams are of characters (code points of the lower-cased text, white space folded) or of words (runs of
+characters other than white space; a character of a script that is written without spaces is a word of its
+own): every k consecutive ones are hashed, and of each window of w consecutive k-grams the one with the
+smallest hash is chosen, the rightmost of equal ones. Any w + k - 1 characters (words) that two texts share in
+the same order make them share a chosen hash, and no match shorter than k is seen. Positions (of the k-gram's
+first character or word) are kept.
 
 One number holds hash and position: 39 bits of hash, then the position's complement, so that the smaller
 number is the smaller hash and, of equal hashes, the position further right.
@@ -17,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .common import bucket_of, partitions
 
-PLACE = 24  # bits of a position: beyond 16 million words they start anew
+PLACE = 24  # bits of a position: beyond 16 million they start anew
 # What separates words, and the blocks of Thai, Lao, kana, Han and Hangul.
 SPACES, UNSPACED = r"\x00-\x20\x85\xA0", r"\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
 WORD = f"[{UNSPACED}]|[^ {UNSPACED}]+"
@@ -28,6 +30,32 @@ def _minimum(array: str, size: int) -> str:
     return f"zip_with(slice({array}, 1, greatest(size({array}) - {size}, 0)), slice({array}, {size} + 1, greatest(size({array}) - {size}, 0)), (a, b) -> least(a, b))"
 
 
+def _flat(text: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACES}]+", " "))
+
+
+def _choose(df: DataFrame, columns: list[str], grams: str, out: str, w: int) -> DataFrame:
+    size, name = 1, grams
+    while size < w:
+        df = df.withColumn(f"{grams}{size}", F.expr(_minimum(f"`{name}`", size)))
+        size, name = size * 2, f"{grams}{size}"
+    chosen = F.when(F.size(grams) >= w, F.array_distinct(name)).when(F.size(grams) > 0, F.array(F.array_min(grams))).otherwise(F.array().cast("array<bigint>"))
+    return df.select(*columns, chosen.alias(out))
+
+
+def winnow_characters(df: DataFrame, text: str, out: str, k: int = 8, w: int = 8) -> DataFrame:
+    """As winnow, of characters: a text of fewer than k characters is one k-gram."""
+    columns = df.columns
+    flat, pieces, grams = (f"__{out}_{x}" for x in ("flat", "pieces", "grams"))
+    df = df.withColumn(flat, _flat(text))
+    every = F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))  # steps by one code point
+    whole = F.when(F.col(flat) == "", F.array().cast("array<string>")).otherwise(F.array(flat))
+    df = df.select(*columns, F.when(F.length(flat) >= k, every).otherwise(whole).alias(pieces))
+    complement = (1 << PLACE) - 1
+    df = df.select(*columns, F.expr(f"transform(`{pieces}`, (x, i) -> (shiftleft(xxhash64(x) & {(1 << 39) - 1}L, {PLACE}) | ({complement} - (i & {complement}))))").alias(grams))
+    return _choose(df, columns, grams, out, w)
+
+
 def winnow(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4) -> DataFrame:
     """Adds ``out``: the chosen k-grams of a text, as array<long> of hash and position, ascending by position.
 
@@ -35,7 +63,7 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4) -> DataFr
     than w k-grams, one window."""
     columns = df.columns
     flat, words, grams = (f"__{out}_{x}" for x in ("flat", "words", "grams"))
-    df = df.withColumn(flat, F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACES}]+", " ")))
+    df = df.withColumn(flat, _flat(text))
     split = F.when(F.col(flat).rlike(f"[{UNSPACED}]"), F.regexp_extract_all(flat, F.lit(WORD), F.lit(0))).otherwise(F.split(flat, " "))
     split = F.when(F.col(flat) == "", F.array().cast("array<string>")).otherwise(split)
     df = df.select(*columns, F.transform(split, lambda x: F.xxhash64(x)).alias(words))
@@ -48,12 +76,7 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4) -> DataFr
             (x, i) -> (shiftleft(xxhash64({parts}) & {(1 << 39) - 1}L, {PLACE}) | ({complement} - (i & {complement}))))"""
         ).alias(grams),
     )
-    size, name = 1, grams
-    while size < w:
-        df = df.withColumn(f"{grams}{size}", F.expr(_minimum(f"`{name}`", size)))
-        size, name = size * 2, f"{grams}{size}"
-    chosen = F.when(F.size(grams) >= w, F.array_distinct(name)).when(F.size(grams) > 0, F.array(F.array_min(grams))).otherwise(F.array().cast("array<bigint>"))
-    return df.select(*columns, chosen.alias(out))
+    return _choose(df, columns, grams, out, w)
 
 
 def render(fingerprint: str) -> Column:
@@ -107,20 +130,29 @@ def with_next(df: DataFrame, key: str, prepare) -> tuple[DataFrame, Window]:
     return dealt, Window.partitionBy("__bucket").orderBy(*order)
 
 
-def edited_fingerprints(documents: DataFrame, k: int = 4, w: int = 4) -> DataFrame:
+def edited_fingerprints(documents: DataFrame, k: int = 4, w: int = 4, char_k: int = 8, char_w: int = 8) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last floor(n/2) code points replaced by the
     first as many (or all) of the next document's, by ascending doc_id; the first follows the last.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next by words, and
+    char_fingerprint, edited_char_fingerprint, char_near_edited, char_near_next by characters, which see what
+    short texts, parts of few words and text without white space share. Null texts are
     empty. Rows without doc_id come first; rows with equal doc_ids are ordered by text. Other columns are
     ignored. An empty table gives no rows."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows, window = with_next(docs, "doc_id", lambda df: winnow(df, "text", "chosen", k, w))
-    rows = rows.select("doc_id", "text", "chosen", "__ghost", F.lead("text").over(window).alias("next"), F.lead("chosen").over(window).alias("next_chosen")).where("__ghost = 0")
+
+    def both(df: DataFrame, text: str, name: str) -> DataFrame:
+        return winnow_characters(winnow(df, text, name, k, w), text, f"char_{name}", char_k, char_w)
+
+    rows, window = with_next(docs, "doc_id", lambda df: both(df, "text", "chosen"))
+    follow = lambda c, name: F.lead(c).over(window).alias(name)
+    rows = rows.select("doc_id", "text", "chosen", "char_chosen", "__ghost", follow("text", "next"), follow("chosen", "next_chosen"), follow("char_chosen", "char_next_chosen")).where("__ghost = 0")
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "chosen", "next_chosen", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half)).alias("edited"))
-    rows = winnow(rows, "edited", "edited_chosen", k, w)
-    rows = rows.select("*", *(F.expr(hashes(c)).alias(f"__{c}") for c in ("chosen", "next_chosen", "edited_chosen")))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half)).alias("edited")
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "chosen", "next_chosen", "char_chosen", "char_next_chosen", edited)
+    rows = both(rows, "edited", "edited_chosen")
+    names = ("chosen", "next_chosen", "edited_chosen", "char_chosen", "char_next_chosen", "char_edited_chosen")
+    rows = rows.select("*", *(F.expr(hashes(c)).alias(f"__{c}") for c in names))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -129,4 +161,8 @@ def edited_fingerprints(documents: DataFrame, k: int = 4, w: int = 4) -> DataFra
         render("edited_chosen").alias("edited_fingerprint"),
         likeness("__chosen", "__edited_chosen").alias("near_edited"),
         likeness("__chosen", "__next_chosen").alias("near_next"),
+        render("char_chosen").alias("char_fingerprint"),
+        render("char_edited_chosen").alias("edited_char_fingerprint"),
+        likeness("__char_chosen", "__char_edited_chosen").alias("char_near_edited"),
+        likeness("__char_chosen", "__char_next_chosen").alias("char_near_next"),
     )

@@ -253,6 +253,29 @@ def test_unspaced_scripts_share_passages(spark):
     assert all(a & b for a in got for b in got)
 
 
+def test_winnowing_characters(spark):
+    texts = ["", " ", "ab", "Exactly8", "x" * 50, "One  two\tTHREE four, five six", "\U00020000" * 3 + "abc\U00020001defghi" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = fingerprints.winnow_characters(fingerprints.winnow_characters(df, "text", "all", 8, 1), "text", "some").collect()
+    mask = (1 << fingerprints.PLACE) - 1
+    for r in rows:
+        x = " ".join(r.text.lower().split())
+        grams = [x[i : i + 8] for i in range(max(1, len(x) - 7))] if x else []
+        hashed = [v >> fingerprints.PLACE for v in r["all"]]
+        assert [mask - (v & mask) for v in r["all"]] == list(range(len(grams))) and len({*zip(hashed, grams, strict=True)}) == len(set(grams))
+        windows = [range(s, min(s + 8, len(grams))) for s in range(max(1, len(grams) - 7) if grams else 0)]
+        assert [mask - (v & mask) for v in r["some"]] == sorted({min(v, key=lambda j: (hashed[j], -j)) for v in windows})
+
+
+def test_short_and_unspaced_texts_keep_a_likeness(frame):
+    """Half of each text is kept: it is seen in few words, and in text without spaces of any script."""
+    rng = random.Random(11)
+    letters = {"latin": "abcdefghijklmnop", "khmer": [chr(0x1780 + i) for i in range(30)], "han": [chr(0x20000 + i) for i in range(900)]}
+    rows = [(i, "".join(rng.choices(letters[kind], k=60))) for i, kind in enumerate([*letters] * 4)]
+    rows += [(100 + i, " ".join("".join(rng.choices(letters["latin"], k=7)) for _ in range(6))) for i in range(9)]
+    assert all(r.char_near_edited > 0 for r in fingerprints.edited_fingerprints(frame(DOCS, rows)).collect())
+
+
 def test_edited_fingerprints_of_little(frame):
     assert fingerprints.edited_fingerprints(frame(DOCS, [])).collect() == []
     one = fingerprints.edited_fingerprints(frame(DOCS, [(5, "abcd")])).first()
