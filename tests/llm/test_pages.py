@@ -184,6 +184,11 @@ def test_texts(page, want):
     assert hx.extract(hx.Reference(trees)) == hx.extract(hx.Reference(hx.read(hx.written(trees)))) == want
 
 
+def test_names_that_tell_of_others():
+    for name in ("content has-sidebar", "no-comments", "post without-ads"):
+        assert hx.extract(hx.Reference(hx.content_trees(f"<div class='{name}'>text<p class='sidebar'>no</p></div>"))) == "text"
+
+
 def brute_matching(a, b):
     """Simple tree matching by its recurrence."""
     if a.tag != b.tag:
