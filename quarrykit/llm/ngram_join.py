@@ -29,15 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .common import connected_components, id_filter, materialize, maybe_in, partitions, sliced, with_hashes, without
+from .common import connected_components, id_filter, materialize, maybe_in, partitions, sliced, with_hashes
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 STEP = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(64)], U)
 SEGMENT = 1 << 20
 
@@ -50,37 +48,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n in _tables:
-        return _tables[n]
-
-    def table(base: int) -> np.ndarray:
-        out = np.ones(n, U)
-        have = 1
-        while have < n:
-            more = min(have, n - have)
-            out[have : have + more] = out[:more] * U(pow(base, have, 1 << 64))
-            have += more
-        return out
-
-    if len(_tables) > 24:
-        _tables.clear()
-    _tables[n] = table(BASE), table(INVERSE)
-    return _tables[n]
+#: What is left of eight bytes when a word ends after so many of them.
+KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def _segment_words(data: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(1 << max(12, int(len(data)).bit_length()))
+    """Every eight bytes of a word are mixed with their place in it, and the word's hash is mixed from their sum:
+    no polynomial in the bytes, which words of much repetition could make collide."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~SPACE[data]
     turn = np.diff(inside)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+    if not len(start):
+        return np.zeros(0, U)
+    eights = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    size = end - start
+    chunks = (size + 7) >> 3
+    first = np.cumsum(chunks) - chunks
+    owner = np.repeat(np.arange(len(start)), chunks)
+    nth = np.arange(len(owner)) - first[owner]
+    value = eights[start[owner] + 8 * nth] & KEPT[np.minimum(size[owner] - 8 * nth, 8)]
+    parts = mix(mix(value) + (nth + 1).astype(U) * U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(parts, first) + size.astype(U) * U(0xA0761D6478BD642F))
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -207,49 +196,112 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
 FLUSH = 8 << 20
 
 
-def _sketches(k: int, scheme: PartEnum, sign: bool):
+#: Of a signature that more sets of one batch of texts share, one set goes to meet those of other batches.
+LOCAL = 32
+
+
+def _combined(keys: list[int], sigs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each set, the signatures that go to meet others, and those that are known to be shared. A signature of
+    more than LOCAL sets here is known for all of them; only the one of smallest key goes on, so a signature that
+    very many sets share makes no large group anywhere."""
+    size = np.array([len(x) for x in sigs])
+    if not size.sum():
+        return sigs, [x[:0] for x in sigs]
+    every, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), size)
+    order = np.lexsort((np.array(keys)[owner], every))
+    first = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+    count = np.diff(np.r_[first, len(order)])
+    known, goes = np.zeros(len(every), bool), np.ones(len(every), bool)
+    large = np.repeat(count > LOCAL, count)
+    known[order[large]] = True
+    goes[order[large]] = False
+    goes[order[first[count > LOCAL]]] = True
+    cut = np.cumsum(size)[:-1]
+    return [x[m] for x, m in zip(sigs, np.split(goes, cut), strict=True)], [x[m] for x, m in zip(sigs, np.split(known, cut), strict=True)]
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.cumsum([0, *(0 if x is None else len(x) for x in arrays)]).astype(np.int32)
+    some = [x for x in arrays if x is not None and len(x)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(some).view(np.int64) if some else np.zeros(0, np.int64), pa.int64()))
+
+
+SKETCH = "doc_id long, n_shingles long, digest long, need0 int, need1 int, sigs array<long>, known array<long>"
+
+
+def _sketches(k: int, scheme: PartEnum):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids, texts = batch.column("doc_id"), _texts(batch)
             at = 0
             while at < len(texts):
-                begin, size, rows = at, 0, []
+                begin, size, rows, sigs = at, 0, [], []
                 while at < len(texts) and size < FLUSH:
                     text = texts[at].as_py()
                     size += len(text or b"")
                     elements = shingle_set(text, k)
                     key = digest(elements)
                     at += 1
-                    if not sign:
-                        needs = scheme.signatures(elements)[1]
-                        rows.append((len(elements), key, needs.get(0), needs.get(1)))
-                    elif key not in seen and len(elements):
+                    if key in seen or not len(elements):  # copies sign once
+                        sig, needs = np.zeros(0, U), scheme.signatures(elements)[1] if len(elements) else {}
+                    else:
                         if len(seen) < 1_000_000:
                             seen.add(key)
-                        rows.append((key, scheme.signatures(elements)[0].view(np.int64)))
-                if not sign:
-                    n, key, even, odd = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(begin, at - begin), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(even, pa.int32()), pa.array(odd, pa.int32())],
-                        ["doc_id", "n_shingles", "digest", "need0", "need1"],
-                    )
-                elif rows:
-                    offsets = np.cumsum([0, *(len(s) for _, s in rows)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key for key, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s for _, s in rows])))],
-                        ["digest", "sigs"],
-                    )
+                        sig, needs = scheme.signatures(elements)
+                    rows.append((len(elements), key, needs.get(0), needs.get(1)))
+                    sigs.append(sig)
+                n, key, even, odd = zip(*rows, strict=True)
+                goes, known = _combined(list(key), sigs)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(begin, at - begin), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(even, pa.int32()), pa.array(odd, pa.int32()), _lists(goes), _lists(known)],
+                    ["doc_id", "n_shingles", "digest", "need0", "need1", "sigs", "known"],
+                )
 
     return run
 
 
-def _possible(held):
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, digest) that are sorted by sig, those whose sig different digests have. Only one row of a
+    group is held from batch to batch, however large the group."""
+    held = None  # sig, digest, whether the group is known to be shared and the row is out
+    for batch in batches:
+        sig, own = (np.asarray(batch.column(c)) for c in ("sig", "digest"))
+        if not len(sig):
+            continue
+        out = held is not None and held[2]
+        if held is not None:
+            sig, own = np.r_[np.int64(held[0]), sig], np.r_[np.int64(held[1]), own]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        shared = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        shared[0] |= out
+        keep = np.repeat(shared, np.diff(np.r_[first, len(sig)]))
+        if out:
+            keep[0] = False
+        held = (sig[-1], own[-1], bool(shared[-1]))
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep])], ["sig", "digest"])
+
+
+def _elements(k: int, held):
+    """(doc_id, digest, elements) of the rows that may be wanted: those whose id passes the filter, and those
+    without id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = batch.filter(pa.array(maybe_in(batch, held.value)))
-            if rows.num_rows:
-                yield rows.select(["doc_id", "text"])
+            wanted = maybe_in(batch, held.value) | np.asarray(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
+            rows = batch.filter(pa.array(wanted))
+            ids, texts, at = rows.column("doc_id"), _texts(rows), 0
+            while at < len(texts):
+                begin, size, out = at, 0, []
+                while at < len(texts) and size < FLUSH:
+                    text = texts[at].as_py()
+                    size += len(text or b"")
+                    elements = shingle_set(text, k)
+                    out.append((digest(elements), elements.tobytes()))
+                    at += 1
+                key, data = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), pa.array(key, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "digest", "elements"])
 
     return run
 
@@ -296,7 +348,7 @@ def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], acros
     return [find(i) for i in range(n)], total
 
 
-def _verify(k: int, num: int, den: int):
+def _verify(num: int, den: int):
     schema = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def judged(unit: tuple, rows: dict[int, tuple]) -> pa.RecordBatch:
@@ -308,14 +360,12 @@ def _verify(k: int, num: int, den: int):
         unit, rows, out = None, {}, []
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("cluster", "b0", "b1", "digest", "copies", "block")]
-            for text, cluster, b0, b1, key, copies, block in zip(_texts(batch), *cols, strict=True):
+            for data, cluster, b0, b1, key, copies, block in zip(batch.column("elements"), *cols, strict=True):
                 if (cluster, b0, b1) != unit:
                     if rows:
                         out.append(judged(unit, rows))
                     unit, rows = (cluster, b0, b1), {}
-                elements = shingle_set(text.as_py(), k)
-                if digest(elements) == key:  # not so for another text under the same doc_id
-                    rows[key] = (elements, copies, block)
+                rows[key] = (np.frombuffer(data.as_py(), U), copies, block)
             if len(out) > 100:
                 yield from out
                 out = []
@@ -333,67 +383,112 @@ SMALL_GROUP = 32
 FINE, MANY, BLOCK = 50_000, 16, 1_000_000
 
 
-def ngram_jaccard_join(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that the document reaches by links), n_links.
-
-    documents: doc_id, text; other columns are ignored. Null and blank texts have an empty set and no
-    link. Equal texts, repeated rows and texts with equal sets are linked. A row without doc_id keeps its
-    row; its component is that of the rows with the same set, or null. An empty table gives no rows."""
+def grouped(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """ngram_jaccard_join with the set's digest and the group's (root) besides: groups of which no document has a
+    doc_id are told apart by it."""
     spark = documents.sparkSession
     docs, scheme = documents.select("doc_id", "text"), PartEnum(num, den)
-    each = materialize(docs.mapInArrow(_sketches(k, scheme, False), "doc_id long, n_shingles long, digest long, need0 int, need1 int"), "shingles")
-    signed = docs.select("doc_id", "text").mapInArrow(_sketches(k, scheme, True), "digest long, sigs array<long>")
-    by_sig = Window.partitionBy("sig")
-
-    def met(rows: DataFrame) -> DataFrame:
-        low = rows.withColumn("low", F.min("digest").over(by_sig)).withColumn("high", F.max("digest").over(by_sig))
-        return low.where("low <> high").drop("high")
-
-    shared = materialize(met(signed.select("digest", F.explode("sigs").alias("sig"))).select("sig", "digest").distinct(), "signatures")
+    width = partitions(spark)
+    sketches = materialize(docs.mapInArrow(_sketches(k, scheme), SKETCH), "sketches")
+    each = sketches.select("doc_id", "n_shingles", "digest", "need0", "need1")
+    signed = sketches.select("digest", F.explode("sigs").alias("sig"))
+    met = signed.repartition(width, "sig").sortWithinPartitions("sig").mapInArrow(_met, "sig long, digest long")
+    shared = materialize(met.unionByName(sketches.select("digest", F.explode("known").alias("sig"))).distinct(), "signatures")
     classes = materialize(
         each.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("need0").alias("need0"), F.max("need1").alias("need1")),
         "classes",
     )
     counted = shared.groupBy("digest", F.expr("sig & 1").alias("odd")).agg(F.count("*").alias("shared"))
     enough = counted.join(classes, "digest").withColumn("need", F.when(F.col("odd") == 1, F.col("need1")).otherwise(F.col("need0"))).where("shared >= need").select("digest", "odd", "need")
-    kept = met(shared.withColumn("odd", F.expr("sig & 1")).join(enough, ["digest", "odd"])).withColumn("size", F.count("*").over(by_sig))
-    kept = materialize(kept.select("sig", "odd", "digest", "need", "low", "size"), "candidates")
+    sharing = materialize(shared.withColumn("odd", F.expr("sig & 1")).join(enough, ["digest", "odd"]), "sharing")
+    # sums by signature, and a join that Spark may split where very many sets share one
+    groups = sharing.groupBy("sig").agg(F.min("digest").alias("low"), F.count("*").alias("size")).where("size > 1")
+    kept = materialize(sharing.join(groups, "sig").select("sig", "odd", "digest", "need", "low", "size"), "candidates")
     # a similar pair shares need signatures: all in small groups, whose pairs are counted, or one in a large group
     few = kept.where(f"size <= {SMALL_GROUP}").groupBy("sig", "odd").agg(F.sort_array(F.collect_list(F.struct("digest", "need"))).alias("own"))
     pairs = few.select("odd", F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x.digest AS a, y.digest AS b, greatest(x.need, y.need) AS need))))")).alias("p"))
     pairs = pairs.groupBy("odd", "p.a", "p.b").agg(F.count("*").alias("shared"), F.max("p.need").alias("need")).where("shared >= need").select("a", "b")
     stars = kept.where(f"size > {SMALL_GROUP} and digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b"))
     clusters = connected_components(pairs.unionByName(stars))
-    inside = clusters.withColumnsRenamed({"id": "digest", "root": "cluster"}).join(classes.where("rep is not null"), "digest")
+    inside = clusters.withColumnsRenamed({"id": "digest", "root": "cluster"}).join(classes, "digest")
     blocks = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.least(F.ceil(F.sum("n") / FINE), F.lit(MANY))).cast("int").alias("blocks"))
     inside = materialize(inside.join(blocks, "cluster").select("digest", "cluster", "rep", "copies", "blocks", F.expr("cast(pmod(xxhash64(digest), blocks) as int)").alias("block")), "clusters")
 
-    # texts outside all clusters are left out before they are hashed a second time
-    held = spark.sparkContext.broadcast(id_filter(inside.select("rep")))
-    texts = with_hashes(docs, "doc_id").mapInArrow(_possible(held), "doc_id long, text string")
+    # texts outside all clusters are left out before they are hashed a second time; each set is made once and sent to
+    # the units that it is compared in
+    held = spark.sparkContext.broadcast(id_filter(inside.select("rep").where("rep is not null")))
+    made = with_hashes(docs, "doc_id").mapInArrow(_elements(k, held), "doc_id long, digest long, elements binary").withColumnsRenamed({"digest": "own"})
+    named = made.where("doc_id is not null").join(inside.where("rep is not null").hint("merge"), F.expr("doc_id = rep and own = digest")).drop("own", "doc_id")
+    nameless = made.where("doc_id is null").drop("doc_id").join(inside.where("rep is null"), F.expr("own = digest")).drop("own").dropDuplicates(["digest"])
     units = (
-        texts.join(inside.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
+        named.unionByName(nameless)
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("cluster", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "digest", "copies", "block", "text")
+        .select("cluster", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "digest", "copies", "block", "elements")
     )
     judged = materialize(
-        units.repartition(partitions(spark), "cluster", "b0", "b1").sortWithinPartitions("cluster", "b0", "b1").mapInArrow(_verify(k, num, den), "digest long, root long, links long"), "judged"
+        units.repartition(width, "cluster", "b0", "b1").sortWithinPartitions("cluster", "b0", "b1").mapInArrow(_verify(num, den), "digest long, root long, links long"), "judged"
     )
     roots = connected_components(judged.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "digest"})
     linked = judged.groupBy("digest").agg(F.sum("links").alias("links"))
     named = classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    final = named.join(least, "root").join(linked, "digest", "left").where("component <> rep or copies > 1 or links > 0").select("digest", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    final = named.join(least, "root").join(linked, "digest", "left").where("not (component <=> rep) or root <> digest or copies > 1 or links > 0")
+    final = final.select("digest", "root", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     full = each.join(final, "digest", "left")
     return full.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        "digest",
+        F.coalesce("root", "digest").alias("root"),
     )
 
 
-def keep_one(documents: DataFrame, **how) -> DataFrame:
-    """The documents with all their columns, of each group of near-duplicates that with the smallest doc_id."""
-    joined = materialize(ngram_jaccard_join(documents, **how), "groups")
-    return without(documents, "doc_id", joined.where("component_id < doc_id").select("doc_id"))
+def ngram_jaccard_join(documents: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that the document reaches by links), n_links.
+
+    documents: doc_id, text; other columns are ignored, whatever their names. Null and blank texts have an empty
+    set and no link. Equal texts, repeated rows and texts with equal sets are linked. A row without doc_id keeps
+    its row and links like any other; its component is null if no document that it reaches has a doc_id. Texts
+    are hashed in segments, so very long ones need memory for their set of shingles alone. An empty table gives
+    no rows."""
+    return grouped(documents, **how).drop("digest", "root")
+
+
+def keep_one(documents: DataFrame, k: int = 5, **how) -> DataFrame:
+    """The documents with all their columns; of each group of near-duplicates one row: that with the smallest
+    doc_id (rows without one come last), of rows with equal doc_ids that with the smallest digest of its set, of
+    equal ones that with the smallest text. So repeated rows and copies without doc_id go too, and of two rows with
+    one doc_id and different texts each is judged by its own text. Null and blank texts have no copies: all stay.
+    Columns may have any names; an empty table gives no rows.
+
+    Only rows whose doc_id may be concerned, by a Bloom filter, are hashed again and shuffled."""
+    rows = grouped(documents, k=k, **how).where("n_shingles > 0").select("doc_id", "digest", "root")
+    classes = materialize(rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies")), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("best")
+    judged = classes.join(classes.groupBy("root").agg(best, F.count("*").alias("members")), "root").where("members > 1 or copies > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    judged = materialize(judged.where(~stays | (F.col("copies") > 1)).select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__of"), stays.alias("__stays")), "copies")
+    columns, spark = documents.columns, documents.sparkSession
+    held = spark.sparkContext.broadcast(id_filter(judged.select("__doc_id").where("__doc_id is not null")))
+    digested = T.StructType([*documents.schema, T.StructField("__digest", T.LongType())])
+
+    def run(wanted: bool):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, 64):
+                hit = maybe_in(batch, held.value) | np.asarray(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
+                rows = batch.filter(pa.array(hit == wanted)).select(columns)
+                if rows.num_rows and wanted:
+                    own = pa.array([digest(shingle_set(text.as_py(), k)) for text in _texts(rows)], pa.int64())
+                    rows = pa.RecordBatch.from_arrays([*rows.columns, own], [*columns, "__digest"])
+                if rows.num_rows:
+                    yield rows
+
+        return each
+
+    hashed = with_hashes(documents, "doc_id")
+    asked = hashed.mapInArrow(run(True), digested).join(judged, F.expr("doc_id <=> __doc_id and __digest = __of"), "left").where("__stays is null or __stays")
+    whole = F.struct(*columns)
+    one = asked.where("__stays").groupBy("doc_id", "__digest").agg(F.min_by(whole, F.struct("text")).alias("__row")).select("__row.*")
+    return hashed.mapInArrow(run(False), documents.schema).unionByName(asked.where("__stays is null").select(*columns)).unionByName(one.select(*columns))

@@ -77,10 +77,58 @@ def test_join_of_nothing(frame):
 
 
 def test_keep_one(frame, odd_documents):
-    rows = [r for r in odd_documents if r[0] is not None]
+    """One row of each group, by brute force; repeated rows and copies without doc_id go too."""
+    rows = [*odd_documents, (None, "a b c d e"), (None, "no one has this"), (None, "no one has this"), (600, odd_documents[16][1]), (600, "another text with the same doc_id")]
     kept = ngram_join.keep_one(frame(DOCS, rows))
-    want = Counter(i for i, _, component, _ in brute_components(rows) if i == component)
-    assert Counter(r.doc_id for r in kept.collect()) == want and "component_id" in kept.columns
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                root[find(a)] = find(b)
+    groups = {}
+    for a, (i, own) in enumerate(sets):
+        groups.setdefault(find(a) if own else ("blank", a), []).append(i)
+    want = Counter(min((i is None, i or 0) for i in g) for g in groups.values())
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == want
+    assert "component_id" in kept.columns and ngram_join.keep_one(frame(DOCS, [])).collect() == []
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_of_much_repetition_differ(frame):
+    """A polynomial modulo 2^64 takes a Thue-Morse word for its complement, whatever its base."""
+    rows = [(i, thue_morse(2048, i % 2) + "x" * (i // 2)) for i in range(8)]
+    assert joined(ngram_join.ngram_jaccard_join(frame(DOCS, rows))) == [(i, 1, i, 0) for i in range(8)]
+
+
+def test_signatures_that_many_share_meet_by_one(monkeypatch, frame):
+    """A family of near copies in every batch: only one of each batch goes on, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "LOCAL", 3)
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 4)
+    rng = random.Random(12)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"n{rng.random()}" for w in text)) for i in range(60)]
+    rows += [(100 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(20)]
+    rows += [(None, rows[0][1] + " more"), (None, rows[70][1])]
+    assert joined(ngram_join.ngram_jaccard_join(frame(DOCS, rows))) == brute_components(rows)
+
+
+def test_links_through_rows_without_doc_id(frame):
+    """Two documents that only a nameless one links."""
+    w = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(w[:180])), (None, " ".join(w[10:195])), (2, " ".join(w[30:200] + ["x"] * 3))]
+    assert joined(ngram_join.ngram_jaccard_join(frame(DOCS, rows))) == brute_components(rows)
+    assert {r[2] for r in brute_components(rows)} == {1}
 
 
 @settings(max_examples=300, deadline=None)
@@ -111,6 +159,17 @@ def test_words_are_hashed_alone(data):
     assert [int(x) for x in ngram_join.word_hashes(data)] == [int(ngram_join.word_hashes(w)[0]) for w in data.split()]
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3, 7, 100])
+def test_met(batch):
+    import pyarrow as pa
+
+    rng = random.Random(batch)
+    rows = sorted((rng.randrange(12), rng.randrange(3)) for _ in range(60)) + [(50, 1)] * 5 + [(60, k % 2) for k in range(9)]
+    batches = [pa.RecordBatch.from_pydict({"sig": pa.array([r[0] for r in rows[i : i + batch]], pa.int64()), "digest": pa.array([r[1] for r in rows[i : i + batch]], pa.int64())}) for i in range(0, len(rows), batch)]
+    got = {(s, d) for b in ngram_join._met(iter(batches)) for s, d in zip(b["sig"].to_pylist(), b["digest"].to_pylist(), strict=True)}
+    assert got == {(s, d) for s, d in rows if len({e for t, e in rows if t == s}) > 1}
+
+
 def test_words_across_segments(monkeypatch):
     text = b" ".join(b"w%d" % i for i in range(2000)) + b" " + b"z" * 500
     whole = ngram_join.word_hashes(text)
