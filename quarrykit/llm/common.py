@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -13,13 +15,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir, or, where it is unset
-    (tests on one machine), a new local folder."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir, or, where it is unset and the
+    master is local (tests on one machine), a new local folder. On a cluster there is no such folder that
+    executors share: an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quarrykit-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -57,6 +62,18 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def kept_by_worker(key: tuple, build, most: int = 2):
+    """What ``build()`` makes, made once by a Python worker for all of its tasks; the latest ``most`` are kept.
+
+    This subpackage travels by value, so its own globals are new in each task: the table hangs in sys.modules."""
+    table = sys.modules.setdefault("_quarrykit_worker", types.ModuleType("_quarrykit_worker")).__dict__.setdefault("kept", {})
+    if key not in table:
+        while len(table) >= most:
+            table.pop(next(iter(table)))
+        table[key] = build()
+    return table[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,18 +10,21 @@ of the item's character grams, so all others must occur in the text around the h
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import kept_by_worker, sliced
 
 OTHER = re.compile(r"[\W_]+")
 GRAM = 4
 #: Edits for each character of an item that still count as the item.
 RATE = 0.08
+#: Normalised characters of the shortest item that is searched for: shorter ones are ordinary words of clean texts.
+LEAST = 20
 #: Characters of item text that one automaton holds; more items are searched in further passes.
 BLOCK = 4_000_000
 
@@ -64,20 +67,17 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """All items' pieces in one automaton. Built on each executor from the items alone."""
+    """All items' pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.source, self.rate, self.automaton = items, rate, None
-
-    def build(self) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
         import ahocorasick
 
         self.items, at = [], {}
-        for key, text in self.source:
+        for key, text in items:
             text = normalise(text)
-            if not text:
+            if len(text) - 2 < least:
                 continue
-            most = int(self.rate * (len(text) - 2))
+            most = int(rate * (len(text) - 2))
             grams = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
             self.items.append((key, text, most, grams, len(grams) - GRAM * most))
             cuts = [len(text) * i // (most + 1) for i in range(most + 2)]
@@ -91,8 +91,6 @@ class Matcher:
 
     def matches(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end) of each item that the text holds, end in the normalised text."""
-        if self.automaton is None:
-            self.build()
         text = normalise(text)
         if not text or not len(self.automaton):
             return []
@@ -137,17 +135,29 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [tuple(r) for r in part.collect()]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def matchers(documents: DataFrame, benchmark: DataFrame, rate: float, least: int) -> Iterator:
+    """For each block of items a function that gives its matcher. The items are broadcast (a block's size is
+    bounded), and a worker builds their automaton once for all of its tasks."""
+    for items in item_blocks(benchmark):
+        held, key = documents.sparkSession.sparkContext.broadcast(items), ("matcher", uuid.uuid4().hex)
+        yield lambda held=held, key=key: kept_by_worker(key, lambda: Matcher(held.value, rate, least))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, distance, end) of every document that holds a benchmark item with at most ``rate``
-    edits a character. Null and wordless texts and items match nothing; an item stands as often as its row
-    does; repeated documents match each; empty tables give no rows."""
+    edits a character; of several places the one of least distance, of equal ones the first.
+
+    Null and wordless texts and items match nothing, and neither do items of fewer than ``least`` normalised
+    characters; an item stands as often as its row does; repeated documents, and those without doc_id, match each.
+    Texts of any length are searched whole, in one pass. Other columns are ignored, whatever their names. Empty
+    tables give no rows."""
     out = None
-    for items in item_blocks(benchmark):
-        matcher = Matcher(items, rate)
+    for matcher in matchers(documents, benchmark, rate, least):
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            own = matcher()
             for batch in batches:
-                rows = [(key, *m) for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in matcher.matches(text.as_py())]
+                rows = [(key, *m) for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in own.matches(text.as_py())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "end"])
 
@@ -158,14 +168,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, rate: float = RATE
     return out
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    for items in item_blocks(benchmark):
-        matcher = Matcher(items, rate)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+    """The documents that hold no benchmark item, as ``contamination`` finds them, with all their columns, whatever
+    their names.
+
+    Null and wordless texts stay; repeated rows stay or go alike; empty tables give no rows or leave all."""
+    for matcher in matchers(documents, benchmark, rate, least):
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+            own = matcher()
             for batch in sliced(batches):
-                yield batch.filter(pa.array([not matcher.matches(text.as_py()) for text in batch.column("text")], pa.bool_()))
+                yield batch.filter(pa.array([not own.matches(text.as_py()) for text in batch.column("text")], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
     return documents

@@ -2,8 +2,9 @@
 
 Documents become pieces of at most ``capacity`` ids. Pieces are dealt to shards of bounded size; a shard
 packs its pieces, longest first, each where the sum of the squared counts of open bins per residual gap
-becomes smallest. What is in bins that stay open is dealt anew to fewer shards, level by level, so that at
-last one small shard holds all that isn't full.
+becomes smallest. A bin whose gap is smaller than the shortest piece at hand is closed. What is in bins that
+stay open is dealt anew to shards of the same bounded size, level by level, until one shard holds it all or a
+level saves next to no bins: no task ever packs more than about SHARD pieces.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 from .tokens import text_ids
 
-#: Pieces that one shard packs, about, and how many shards' open bins meet in one shard of the next level.
-SHARD, FAN = 8192, 16
+#: Pieces that one shard packs, about.
+SHARD = 8192
+#: A level that saves a smaller share of its bins is the last one.
+WORTH = 0.01
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -84,9 +87,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack_rounds(lengths: np.ndarray, capacity: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """sum_of_squares, longest items first; then again with the items of the bins left open, as long as that
-    saves bins. For each item: its bin, its offset, whether the bin is open."""
+    saves bins. For each item: its bin, its offset, the gap that its bin is left with."""
     n = len(lengths)
-    where, offset, open_ = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    where, offset, gap = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     rest, first, bins = np.argsort(-lengths, kind="stable"), 0, n + 1
     for _ in range(rounds):
         if not len(rest):
@@ -94,22 +97,26 @@ def pack_rounds(lengths: np.ndarray, capacity: int, rounds: int = 4) -> tuple[np
         own, at, left = sum_of_squares(lengths[rest], capacity)
         if len(left) >= bins:
             break
-        where[rest], offset[rest], open_[rest] = own + first, at, left[own] > 0
+        where[rest], offset[rest], gap[rest] = own + first, at, left[own]
         first += len(left)
         bins = int((left > 0).sum())
         rest = rest[left[own] > 0]
-    return where, offset, open_
+    return where, offset, gap
 
 
 def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to rows with a ``length`` of 1 to capacity. Every row is an item of its
-    own, equal rows too. Full items have sequences of their own."""
+    """Adds sequence_id and offset to rows with a ``length`` of 1 to capacity; other columns may have any names but
+    shard and open. Every row is an item of its own, equal rows too, and full items have sequences of their own.
+    Ties in length are packed in any order. An empty table gives no rows.
 
-    def shard(level: int, last: bool):
+    Of each level, the driver gets the number of open pieces, their bins and their shortest length."""
+
+    def shard(level: int, least: int):
         def run(rows: pa.Table) -> pa.Table:
-            where, offset, open_ = pack_rounds(rows["length"].to_numpy(), capacity)
+            length = rows["length"].to_numpy()
+            where, offset, gap = pack_rounds(length, capacity)
             number = level << 58 | rows["shard"][0].as_py() << 30
-            for name, values in (("sequence_id", where + number), ("offset", offset), ("open", open_ & (not last))):
+            for name, values in (("sequence_id", where + number), ("offset", offset), ("open", gap >= least)):
                 rows = rows.append_column(name, pa.array(values))
             return rows
 
@@ -119,23 +126,29 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", shard long, sequence_id long, offset long, open boolean"
     width = partitions(items.sparkSession)
     items = materialize(items, "pieces")
-    shards = max(1, -(-items.count() // SHARD))
+    many, least = items.agg(F.count("*"), F.coalesce(F.min("length"), F.lit(1))).first()
     # the row's own number keeps equal rows, however many, from one shard
-    todo = items.withColumn("shard", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(shards)))
+    number, todo, bins = F.xxhash64(*columns, F.monotonically_increasing_id()), items, None
     done, level = None, 0
     while True:
-        packed = materialize(todo.repartition(min(width, shards) if shards < width else width, "shard").groupBy("shard").applyInArrow(shard(level, shards == 1), schema), "packed")
+        shards = max(1, -(-many // SHARD))
+        dealt = todo.withColumn("shard", F.pmod(number, F.lit(shards))).select(*columns, "shard")
+        packed = materialize(dealt.repartition(min(width, shards), "shard").groupBy("shard").applyInArrow(shard(level, least), schema), "packed")
+        first = F.when(F.col("offset") == 0, 1)
+        made, many, open_, least = packed.agg(F.count(first), F.count(F.when(F.col("open"), 1)), F.count(F.when(F.col("open"), first)), F.min(F.when(F.col("open"), F.col("length")))).first()
+        if shards == 1 or not many or level == 30 or (bins is not None and bins - made < WORTH * bins):
+            last = packed.select(*columns, "sequence_id", "offset")
+            return last if done is None else done.unionByName(last)
         closed = packed.where("not open").select(*columns, "sequence_id", "offset")
         done = closed if done is None else done.unionByName(closed)
-        if shards == 1:
-            return done
-        shards, level = -(-shards // FAN), level + 1
-        todo = packed.where("open").select(*columns, (F.col("shard") % shards).alias("shard"))
+        level, bins = level + 1, open_
+        number, todo = F.xxhash64("sequence_id", F.lit(level)), packed.where("open").select(*columns, "sequence_id")
 
 
 def pack_documents(documents: DataFrame, path: str, pattern: str, end: int = 0, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    Null texts are empty and still hold the id ``end``. Repeated rows are documents of their own. An empty
-    table gives no rows."""
+    Null and empty texts hold the id ``end`` alone. A text of any length is whole in memory with its ids, one at a
+    time, and becomes as many pieces as it needs. Repeated rows, and rows without doc_id, are documents of their own.
+    Other columns are ignored, whatever their names. An empty table gives no rows."""
     return pack(pieces(documents, path, pattern, end, capacity), capacity)

@@ -12,30 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, fresh_path, materialize, partitions
-
-_encoders: dict[tuple, object] = {}
-
+from .common import filesystem, fresh_path, kept_by_worker, materialize, partitions
 
 def encoder(path: str, pattern: str):
-    """The tokenizer of a ranks file, as read from the vocabulary folder of this machine. Strings of special
-    tokens are ordinary text to it."""
-    if (path, pattern) not in _encoders:
+    """The tokenizer of a ranks file, as read once by a worker from the vocabulary folder of its machine. Strings
+    of special tokens are ordinary text to it."""
+
+    def build():
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path, pattern]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return kept_by_worker(("encoder", path, pattern), build)
 
 
 def text_ids(path: str, pattern: str, text: str | None) -> np.ndarray:
     return np.array(encoder(path, pattern).encode_ordinary(text), np.uint32) if text else np.zeros(0, np.uint32)
 
 
+def as_uint16(ids: np.ndarray) -> np.ndarray:
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} doesn't fit in 16 bits: a flat file of this vocabulary can't be written")
+    return ids.astype("<u2")
+
+
 def write_token_files(documents: DataFrame, path: str, pattern: str, end: int) -> DataFrame:
     """Writes every text's ids and then the id ``end`` to flat little-endian uint16 files, one for each task,
-    in the shared folder. Returns (file, ordinal, doc_id) for each document, in the files' order.
+    in the shared folder. Returns (file, ordinal, doc_id) for each document, in the files' order. Null and empty texts
+    have the id ``end`` alone, and rows that repeat or lack a doc_id are documents of their own. An id that
+    16 bits don't hold is an error. An empty table writes no file.
 
     A task that is run again writes another file; only files of tasks that ended well are in the result."""
     folder = fresh_path(documents.sparkSession, "tokens")
@@ -49,7 +56,7 @@ def write_token_files(documents: DataFrame, path: str, pattern: str, end: int) -
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(at)
                 for text in batch.column("text"):
-                    out.write(np.append(text_ids(path, pattern, text.as_py()), np.uint32(end)).astype("<u2").tobytes())
+                    out.write(as_uint16(np.append(text_ids(path, pattern, text.as_py()), np.uint32(end))).tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column("doc_id")], ["file", "ordinal", "doc_id"])
                 ordinal += n
@@ -102,7 +109,8 @@ def token_counts(documents: DataFrame, path: str, pattern: str, end: int) -> Dat
     """doc_id, file_ordinal, start, n_tokens of every document, from flat token files written and scanned.
 
     Null and empty texts have no tokens. Repeated rows are documents of their own; a row without doc_id
-    keeps its row. An empty table gives no rows."""
+    keeps its row. Files are scanned in blocks, so a document of any length may lie across many of them. Other
+    columns are ignored, whatever their names. An empty table gives no rows."""
     written = write_token_files(documents, path, pattern, end)
     scanned = separator_scan(documents.sparkSession, written, end)
     return written.join(scanned, ["file", "ordinal"]).select("doc_id", F.col("ordinal").alias("file_ordinal"), "start", "n_tokens")
