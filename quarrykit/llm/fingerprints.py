@@ -1,13 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The k-grams are of characters (code points of the lower-cased text, white space folded) or of words (runs of
-characters other than white space; a character of a script that is written without spaces is a word of its
-own): every k consecutive ones are hashed, and of each window of w consecutive k-grams the one with the
-smallest hash is chosen, the rightmost of equal ones. Any w + k - 1 characters (words) that two texts share in
-the same order make them share a chosen hash, and no match shorter than k is seen. Positions (of the k-gram's
-first character or word) are kept.
-
-One number holds hash and position: 39 bits of hash, then the position's complement, so that the smaller
+The k-grams are of characters: code points, A-Z in lower case and white space as spaces, none left out, so that a
+place in the text is a place among the k-grams. A k-gram's hash is its polynomial modulo the prime 2^31 - 1, as a
+rolling hash has it; SQL functions carry no state along an array, so the hashes of 2k characters come from those of
+k. Of each window of w consecutive k-grams the one with the smallest hash is chosen, the rightmost of equal ones.
+Any w + k - 1 characters that two texts share in the same order make them share a chosen hash, and no match shorter
+than k is seen. Positions (of the k-gram's first character) are kept.
+
+One number holds hash and position: 31 bits of hash, then the position's complement in 32 bits, so that the smaller
 number is the smaller hash and, of equal hashes, the position further right.
 """
 
@@ -17,72 +17,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_of, partitions
+from .common import bucket_of, materialize, partitions
 
-PLACE = 24  # bits of a position: beyond 16 million they start anew
-# What separates words, and the blocks of Thai, Lao, kana, Han and Hangul.
-SPACES, UNSPACED = r"\x00-\x20\x85\xA0", r"\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
-WORD = f"[{UNSPACED}]|[^ {UNSPACED}]+"
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+#: Bits of a position: a text of Spark has fewer characters.
+PLACE = 32
+LAST = (1 << PLACE) - 1
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# White space.
+SPACES = "\t\n\x0b\x0c\r\x85\xa0"
 
 
-def _minimum(array: str, size: int) -> str:
-    """SQL for the minima of each ``2 * size`` window from those of each ``size`` window."""
-    return f"zip_with(slice({array}, 1, greatest(size({array}) - {size}, 0)), slice({array}, {size} + 1, greatest(size({array}) - {size}, 0)), (a, b) -> least(a, b))"
+def _apart(array: str, by: int, step: str) -> str:
+    """SQL: step(a, b) of each element and the one ``by`` places on."""
+    least = f"greatest(size({array}) - {by}, 0)"
+    return f"zip_with(slice({array}, 1, {least}), slice({array}, {by} + 1, {least}), (a, b) -> {step})"
 
 
-def _flat(text: str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[{SPACES}]+", " "))
+def _doubled(df: DataFrame, array: str, size: int, step) -> tuple[DataFrame, str]:
+    """What ``step(width)`` makes of each ``size`` consecutive elements, from halves. size is a power of 2."""
+    width, at = 1, array
+    while width < size:
+        df, at = df.withColumn(f"{array}{2 * width}", F.expr(_apart(f"`{at}`", width, step(width)))), f"{array}{2 * width}"
+        width *= 2
+    return df, at
 
 
-def _choose(df: DataFrame, columns: list[str], grams: str, out: str, w: int) -> DataFrame:
-    size, name = 1, grams
-    while size < w:
-        df = df.withColumn(f"{grams}{size}", F.expr(_minimum(f"`{name}`", size)))
-        size, name = size * 2, f"{grams}{size}"
-    chosen = F.when(F.size(grams) >= w, F.array_distinct(name)).when(F.size(grams) > 0, F.array(F.array_min(grams))).otherwise(F.array().cast("array<bigint>"))
-    return df.select(*columns, chosen.alias(out))
-
+def winnow(df: DataFrame, text: str, out: str, k: int = 8, w: int = 8) -> DataFrame:
+    """Adds ``out``: the chosen k-grams of a text, as array<long> of hash and position, ascending by position.
 
-def winnow_characters(df: DataFrame, text: str, out: str, k: int = 8, w: int = 8) -> DataFrame:
-    """As winnow, of characters: a text of fewer than k characters is one k-gram."""
+    k and w are powers of 2. Null and empty texts have none; a text of fewer than k characters is one k-gram; of
+    fewer than w k-grams, one window. Texts of any length and script are read whole."""
     columns = df.columns
-    flat, pieces, grams = (f"__{out}_{x}" for x in ("flat", "pieces", "grams"))
-    df = df.withColumn(flat, _flat(text))
-    every = F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))  # steps by one code point
-    whole = F.when(F.col(flat) == "", F.array().cast("array<string>")).otherwise(F.array(flat))
-    df = df.select(*columns, F.when(F.length(flat) >= k, every).otherwise(whole).alias(pieces))
-    complement = (1 << PLACE) - 1
-    df = df.select(*columns, F.expr(f"transform(`{pieces}`, (x, i) -> (shiftleft(xxhash64(x) & {(1 << 39) - 1}L, {PLACE}) | ({complement} - (i & {complement}))))").alias(grams))
-    return _choose(df, columns, grams, out, w)
-
+    chars, grams = f"__{out}_chars", f"__{out}_grams"
+    flat = F.translate(F.coalesce(text, F.lit("")), UPPER + SPACES, LOWER + " " * len(SPACES))
+    empty = F.array().cast("array<bigint>")
+    df = df.select(*columns, F.when(flat == "", empty).otherwise(F.transform(F.split(flat, ""), lambda c: (F.ascii(c) + 1).cast("long"))).alias(chars))
+    df, hashed = _doubled(df, chars, k, lambda width: f"(a * {pow(BASE, width, PRIME)}L + b) % {PRIME}L")
+    short = F.expr(f"array(aggregate(`{chars}`, 0L, (h, c) -> (h * {BASE}L + c) % {PRIME}L))")
+    whole = F.when(F.size(chars) >= k, F.col(hashed)).when(F.size(chars) > 0, short).otherwise(empty)
+    df = df.select(*columns, whole.alias(grams)).withColumn(grams, F.expr(f"transform(`{grams}`, (h, i) -> shiftleft(h, {PLACE}) | ({LAST}L - i))"))
+    df, least = _doubled(df, grams, w, lambda width: "least(a, b)")
+    chosen = F.when(F.size(grams) >= w, F.array_distinct(least)).when(F.size(grams) > 0, F.array(F.array_min(grams))).otherwise(empty)
+    return df.select(*columns, chosen.alias(out))
 
-def winnow(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4) -> DataFrame:
-    """Adds ``out``: the chosen k-grams of a text, as array<long> of hash and position, ascending by position.
 
-    w is a power of 2. Null and blank texts have none; a text of fewer than k words is one k-gram; of fewer
-    than w k-grams, one window."""
-    columns = df.columns
-    flat, words, grams = (f"__{out}_{x}" for x in ("flat", "words", "grams"))
-    df = df.withColumn(flat, _flat(text))
-    split = F.when(F.col(flat).rlike(f"[{UNSPACED}]"), F.regexp_extract_all(flat, F.lit(WORD), F.lit(0))).otherwise(F.split(flat, " "))
-    split = F.when(F.col(flat) == "", F.array().cast("array<string>")).otherwise(split)
-    df = df.select(*columns, F.transform(split, lambda x: F.xxhash64(x)).alias(words))
-    parts = ", ".join(["x", *(f"get(`{words}`, i + {j})" for j in range(1, k))])
-    complement = (1 << PLACE) - 1
-    df = df.select(
-        *columns,
-        F.expr(
-            f"""transform(slice(`{words}`, 1, greatest(size(`{words}`) - {k - 1}, least(size(`{words}`), 1))),
-            (x, i) -> (shiftleft(xxhash64({parts}) & {(1 << 39) - 1}L, {PLACE}) | ({complement} - (i & {complement}))))"""
-        ).alias(grams),
-    )
-    return _choose(df, columns, grams, out, w)
+def place(value: str) -> str:
+    return f"({LAST}L - ({value} & {LAST}L))"
 
 
 def render(fingerprint: str) -> Column:
     """The fingerprint as text: hash@position of each chosen k-gram."""
-    complement = (1 << PLACE) - 1
-    return F.expr(f"array_join(transform({fingerprint}, v -> concat(lower(hex(shiftrightunsigned(v, {PLACE}))), '@', {complement} - (v & {complement}))), ' ')")
+    return F.expr(f"array_join(transform({fingerprint}, v -> concat(lower(hex(shiftrightunsigned(v, {PLACE}))), '@', {place('v')})), ' ')")
 
 
 def hashes(fingerprint: str) -> str:
@@ -96,62 +82,100 @@ def likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(common.cast("double") / total)
 
 
-def with_next(df: DataFrame, key: str, prepare) -> tuple[DataFrame, Window]:
-    """Deals the rows to buckets of consecutive keys, each with a copy of the first rows of the next bucket
-    behind it (``__ghost``; of the first bucket's behind the last), and returns them with a window in which
-    lead() gives each row's successor. ``prepare`` adds columns after the deal. Null keys come first.
-
-    The bounds are percentiles of the keys, so the buckets are of even size, and no row needs more than its
-    own bucket; the driver gets one number for each bucket."""
-    spark = df.sparkSession
-    wanted = min(1024, 4 * partitions(spark))
-    cut = df.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 20 * wanted).alias("cut")).first().cut
-    bounds = sorted(set(cut or []))
-    bucket = bucket_of(F.col(key), bounds)
-    low = F.min(F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"))).alias("low")
-    lowest = {r.b: r.low for r in df.groupBy(bucket.alias("b")).agg(low).collect()}
-    full = sorted(lowest)
-    before = {b: full[i - 1] for i, b in enumerate(full)}
-    # the rows with their bucket's lowest key go to the bucket before it too
-    lows = sorted((lowest[b].key, before[b]) for b in full if lowest[b].known)
-    previous = F.lit(None).cast("int")
-    if lows:
-        nth = bucket_of(F.col(key), [k for k, _ in lows]) - 1
-        at = lambda values: F.get(F.array(*map(F.lit, values)), nth)
-        previous = F.when(at([k for k, _ in lows]) == F.col(key), at([b for _, b in lows]))
-    if any(not lowest[b].known for b in full):
-        previous = F.when(F.col(key).isNull(), F.lit(before[full[0]])).otherwise(previous)
-    own, ghost = F.struct(bucket.alias("b"), F.lit(0).alias("g")), F.struct(previous.alias("b"), F.lit(1).alias("g"))
-    spots = F.when(previous.isNotNull(), F.array(own, ghost)).otherwise(F.array(own))
-    columns = df.columns
-    dealt = df.withColumn("__at", F.explode(spots)).select(*columns, F.col("__at.b").alias("__bucket"), F.col("__at.g").alias("__ghost"))
-    order = ["__ghost", key, *(c for c in columns if c != key)]
-    dealt = prepare(dealt.repartition(partitions(spark), "__bucket").sortWithinPartitions("__bucket", *order))
+#: A bucket of consecutive rows holds about so many bytes of text, and there are at most about so many buckets.
+BUCKET, BUCKETS = 64 << 20, 1 << 20
+
+
+def with_next(df: DataFrame, prepare) -> tuple[DataFrame, Window]:
+    """df: doc_id, text. Deals the rows to buckets of consecutive rows (by doc_id, null first; of one doc_id by a hash
+    of the text), each with a copy of the first row of the next bucket behind it (``__ghost``; of the first
+    bucket's behind the last), and returns them with a window in which lead() gives each row's successor.
+    ``prepare`` adds columns after the deal.
+
+    Percentiles of doc_id are the buckets' first bounds; between two of them buckets are of even width, so many that
+    each holds about BUCKET bytes whatever the size of the table. A doc_id, or none, that holds several percentiles
+    is dealt by the hash. The driver gets the percentiles; buckets' first rows stay in a table, of at most
+    about BUCKETS rows, that is broadcast."""
+    wanted = min(1024, 4 * partitions(df.sparkSession))
+    df = df.withColumn("__tie", F.shiftrightunsigned(F.xxhash64("text"), 11))
+    stats = df.agg(
+        F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted).alias("cut"),
+        F.count("*").alias("n"),
+        F.count("doc_id").alias("known"),
+        F.min("doc_id").alias("low"),
+        F.max("doc_id").alias("high"),
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"),
+    ).first()
+    cut = list(stats.cut or [])
+    fine = -(-stats.bytes // max(BUCKET, stats.bytes // BUCKETS) // wanted) if stats.bytes > BUCKET * wanted else 1
+    hot = {c for c in cut if cut.count(c) > 1} if len(cut) < 3000 else set()
+    bounds = sorted({*cut, *(c + 1 for c in hot if c < (1 << 63) - 1)} - {stats.low})
+    lows = [stats.low or 0, *bounds]
+    spans = [max(b - a, 1) for a, b in zip(lows, [*bounds, (stats.high or 0) + 1], strict=True)]
+    parts = [max(1, cut.count(low)) * fine if low in hot else fine for low in lows]
+    nameless = max(1, -(-(stats.n - stats.known) * wanted * fine // max(1, stats.n)))
+    starts = [nameless]
+    for n in parts:
+        starts.append(starts[-1] + n)
+    slot = bucket_of(F.col("doc_id"), bounds)
+    at = lambda values: F.get(F.array(*map(F.lit, values)), F.col("__slot"))
+    tie = F.col("__tie") / F.lit(float(1 << 53))
+    share = F.when(at([low in hot for low in lows]), tie).otherwise((F.col("doc_id").cast("double") - at([float(x) for x in lows])) / at([float(x) for x in spans]))
+    inside = lambda share, n: F.greatest(F.least(F.floor(share * n), n - 1), F.lit(0)).cast("long")
+    bucket = F.when(F.col("doc_id").isNull(), inside(tie, F.lit(nameless))).otherwise(at(starts[:-1]) + inside(share, at(parts)))
+    numbered = df.withColumn("__slot", slot).withColumn("__bucket", bucket.cast("long")).drop("__slot")
+    first = numbered.groupBy("__bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("__tie").alias("tie"))).alias("low"))
+    first = materialize(first.select(F.col("__bucket").alias("b"), "low.id", "low.tie"), "firsts")
+    whole = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each bucket
+    first = first.select("*", F.coalesce(F.lag("b").over(Window.orderBy("b")), F.max("b").over(whole)).alias("before"))
+    met = numbered.join(F.broadcast(first), F.expr("__bucket = b and coalesce(doc_id, 0) = id and __tie = tie"), "left")
+    own, ghost = F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("g")), F.struct(F.col("before").alias("b"), F.lit(1).alias("g"))
+    spots = F.when(F.col("before").isNotNull(), F.array(own, ghost)).otherwise(F.array(own))
+    dealt = met.select("doc_id", "text", "__tie", F.explode(spots).alias("__at")).select("doc_id", "text", "__tie", F.col("__at.b").alias("__bucket"), F.col("__at.g").alias("__ghost"))
+    order = ["__ghost", "doc_id", "__tie", "text"]
+    dealt = prepare(dealt.repartition(partitions(df.sparkSession), "__bucket").sortWithinPartitions("__bucket", *order))
     return dealt, Window.partitionBy("__bucket").orderBy(*order)
 
 
-def edited_fingerprints(documents: DataFrame, k: int = 4, w: int = 4, char_k: int = 8, char_w: int = 8) -> DataFrame:
+def edited_fingerprints(documents: DataFrame, k: int = 8, w: int = 8) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last floor(n/2) code points replaced by the
     first as many (or all) of the next document's, by ascending doc_id; the first follows the last.
 
-    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next by words, and
-    char_fingerprint, edited_char_fingerprint, char_near_edited, char_near_next by characters, which see what
-    short texts, parts of few words and text without white space share. Null texts are
-    empty. Rows without doc_id come first; rows with equal doc_ids are ordered by text. Other columns are
-    ignored. An empty table gives no rows."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-    def both(df: DataFrame, text: str, name: str) -> DataFrame:
-        return winnow_characters(winnow(df, text, name, k, w), text, f"char_{name}", char_k, char_w)
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are
+    empty. Rows without doc_id come first; rows with equal doc_ids are ordered by a hash of the text. Texts of any
+    length are read whole. Other columns are ignored, whatever their names. An empty table gives no rows.
 
-    rows, window = with_next(docs, "doc_id", lambda df: both(df, "text", "chosen"))
+    A choice depends on the windows around it alone, so the edited text's choices are those of the two texts, but for
+    those near the cut and near the end, which are made anew from a few characters there; where either part is
+    that short, all are made anew."""
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows, window = with_next(docs, lambda df: winnow(df, "text", "chosen", k, w))
     follow = lambda c, name: F.lead(c).over(window).alias(name)
-    rows = rows.select("doc_id", "text", "chosen", "char_chosen", "__ghost", follow("text", "next"), follow("chosen", "next_chosen"), follow("char_chosen", "char_next_chosen")).where("__ghost = 0")
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half)).alias("edited")
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "chosen", "next_chosen", "char_chosen", "char_next_chosen", edited)
-    rows = both(rows, "edited", "edited_chosen")
-    names = ("chosen", "next_chosen", "edited_chosen", "char_chosen", "char_next_chosen", "char_edited_chosen")
+    rows = rows.select("doc_id", "text", "chosen", "__ghost", follow("text", "next"), follow("chosen", "next_chosen")).where("__ghost = 0")
+    n = F.length("text")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", "chosen", "next_chosen", (n - F.floor(n / 2)).cast("int").alias("p"))
+    rows = rows.withColumn("q", F.least(F.col("n_chars").cast("int") - F.col("p"), F.length("next")))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("p")), F.substring("next", F.lit(1), F.col("q")))).drop("text", "next")
+    anew, near = (F.least("p", "q") < k + 2 * w), k + 2 * w - 3
+    rows = rows.withColumns(
+        {
+            "anew": anew,
+            "middle": F.when(anew, F.col("edited")).otherwise(F.substring("edited", F.col("p") - near + 1, F.lit(near + 2 * w + k - 3))),
+            "tail": F.when(~anew, F.substring("edited", F.col("p") + F.col("q") - near + 1, F.lit(near))),
+        }
+    )
+    rows = winnow(winnow(rows, "middle", "in_middle", k, w), "tail", "in_tail", k, w)
+    moved = lambda part, start, low, high: f"transform(filter({part}, v -> {place('v')} + {start} between {low} and {high}), v -> v - ({start}))"
+    joined = ", ".join(
+        (
+            moved("chosen", "0", "0", f"p - {k + w - 1}"),
+            moved("in_middle", f"p - {near}", f"p - {k + w - 2}", f"p + {w - 2}"),
+            moved("next_chosen", "p", f"p + {w - 1}", f"p + q - {k + w - 1}"),
+            moved("in_tail", f"p + q - {near}", f"p + q - {k + w - 2}", f"p + q - {k}"),
+        )
+    )
+    rows = rows.withColumn("edited_chosen", F.expr(f"if(anew, in_middle, concat({joined}))"))
+    names = ("chosen", "next_chosen", "edited_chosen")
     rows = rows.select("*", *(F.expr(hashes(c)).alias(f"__{c}") for c in names))
     return rows.select(
         "doc_id",
@@ -161,8 +185,4 @@ def edited_fingerprints(documents: DataFrame, k: int = 4, w: int = 4, char_k: in
         render("edited_chosen").alias("edited_fingerprint"),
         likeness("__chosen", "__edited_chosen").alias("near_edited"),
         likeness("__chosen", "__next_chosen").alias("near_next"),
-        render("char_chosen").alias("char_fingerprint"),
-        render("char_edited_chosen").alias("edited_char_fingerprint"),
-        likeness("__char_chosen", "__char_edited_chosen").alias("char_near_edited"),
-        likeness("__char_chosen", "__char_next_chosen").alias("char_near_next"),
     )

@@ -281,64 +281,92 @@ def test_contamination_in_blocks_and_of_nothing(frame, monkeypatch):
 # -- fingerprints
 
 
-def brute_winnow(text, k, w):
-    """Choices by position only: hashes come from the operator's own k-gram column."""
-    x = re.findall(r"[^\x00-\x20\x85\xa0]+", (text or "").lower())
-    return [tuple(x[i : i + k]) for i in range(max(1, len(x) - k + 1))] if x else []
-
-
-def test_winnowing_guarantee_and_choice(spark, frame, odd_documents):
-    texts = [t for _, t in odd_documents if t and "日" not in t][:40]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
-    each = {r.doc_id: r for r in fingerprints.winnow(fingerprints.winnow(df, "text", "all", 4, 1), "text", "some", 4, 4).collect()}
-    mask = (1 << fingerprints.PLACE) - 1
-    for i, text in enumerate(texts):
-        grams = brute_winnow(text, 4, 4)
-        hashed = [v >> fingerprints.PLACE for v in each[i]["all"]]
-        assert [mask - (v & mask) for v in each[i]["all"]] == list(range(len(grams))) and len({*zip(hashed, grams, strict=True)}) == len(set(grams))
-        chosen = set()
-        for s in range(max(1, len(grams) - 3) if grams else 0):
-            window = range(s, min(s + 4, len(grams)))
-            chosen.add(min(window, key=lambda j: (hashed[j], -j)))  # the rightmost of equal ones
-        assert [mask - (v & mask) for v in each[i]["some"]] == sorted(chosen)
-
-
-def test_edited_fingerprints(frame, odd_documents):
-    rows = sorted(((i, t or "") for i, t in odd_documents), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    got = fingerprints.edited_fingerprints(frame(DOCS, odd_documents)).collect()
-    assert len(got) == len(rows)
-    edited = []
+def brute_winnow(text, k=8, w=8):
+    """(hash, position) of the chosen k-grams, by a hash that rolls along the text and by looking at every window."""
+    prime, base = (1 << 31) - 1, 1_000_003
+    flat = [ord(c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r\x85\xa0" else c) + 1 for c in text or ""]
+    if not flat:
+        return []
+    h = 0
+    for c in flat[:k]:
+        h = (h * base + c) % prime
+    rolled = [h]
+    for i in range(k, len(flat)):
+        h = ((h - flat[i - k] * pow(base, k - 1, prime)) * base + flat[i]) % prime
+        rolled.append(h)
+    windows = [range(s, min(s + w, len(rolled))) for s in range(max(1, len(rolled) - w + 1))]
+    return [(rolled[i], i) for i in sorted({min(v, key=lambda j: (rolled[j], -j)) for v in windows})]
+
+
+def parsed(fingerprint):
+    return [(int(h, 16), int(i)) for h, _, i in (x.partition("@") for x in fingerprint.split())]
+
+
+def test_winnowing(spark):
+    rng = random.Random(3)
+    texts = ["", " ", "ab", "Exactly8", "fifteen chars!!", "x" * 50, "One  two\tTHREE four, five six", "\U00020000" * 3 + "abc\U00020001defghi" * 3, "İÄß" * 9, None]
+    texts += ["".join(rng.choices("ab", k=rng.randrange(100))) for _ in range(40)]
+    for k, w in ((8, 8), (4, 2), (2, 16), (1, 1)):
+        df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+        got = fingerprints.winnow(df, "text", "f", k, w).select("doc_id", fingerprints.render("f").alias("f")).collect()
+        assert {r.doc_id: parsed(r.f) for r in got} == {i: brute_winnow(t, k, w) for i, t in enumerate(texts)}
+
+
+def brute_edited(rows):
+    """(doc_id, n_chars, sha, fingerprint, edited fingerprint, near_edited, near_next) of rows in their order."""
+    def near(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    out = []
     for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
         half = len(text) // 2
-        edited.append((i, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
-    assert sorted(edited, key=str) == sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str)
-    by = {r.doc_id: r for r in got}
-    assert by[500].fingerprint == by[501].fingerprint != "" and by[500].near_next == 1.0
-    assert by[1].fingerprint == "" and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    assert 0.2 < by[400].near_edited < 0.5 < by[400].near_next
-
-
-def test_unspaced_scripts_share_passages(spark):
-    rng = random.Random(8)
-    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
-    passage = text(7)
-    df = spark.createDataFrame([(i, text(50) + passage + text(40)) for i in range(12)], DOCS)
-    got = [set(v >> fingerprints.PLACE for v in r.f) for r in fingerprints.winnow(df, "text", "f").collect()]
-    assert all(a & b for a in got for b in got)
-
-
-def test_winnowing_characters(spark):
-    texts = ["", " ", "ab", "Exactly8", "x" * 50, "One  two\tTHREE four, five six", "\U00020000" * 3 + "abc\U00020001defghi" * 3]
-    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    rows = fingerprints.winnow_characters(fingerprints.winnow_characters(df, "text", "all", 8, 1), "text", "some").collect()
-    mask = (1 << fingerprints.PLACE) - 1
-    for r in rows:
-        x = " ".join(r.text.lower().split())
-        grams = [x[i : i + 8] for i in range(max(1, len(x) - 7))] if x else []
-        hashed = [v >> fingerprints.PLACE for v in r["all"]]
-        assert [mask - (v & mask) for v in r["all"]] == list(range(len(grams))) and len({*zip(hashed, grams, strict=True)}) == len(set(grams))
-        windows = [range(s, min(s + 8, len(grams))) for s in range(max(1, len(grams) - 7) if grams else 0)]
-        assert [mask - (v & mask) for v in r["some"]] == sorted({min(v, key=lambda j: (hashed[j], -j)) for v in windows})
+        edited = text[: len(text) - half] + after[:half]
+        own, other, then = brute_winnow(text), brute_winnow(edited), brute_winnow(after)
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, round(near(own, other), 9), round(near(own, then), 9)))
+    return out
+
+
+def told(df):
+    return [(r.doc_id, r.n_chars, r.edited_sha256, parsed(r.fingerprint), parsed(r.edited_fingerprint), round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect()]
+
+
+def in_order(spark, rows):
+    """Rows by doc_id, null first, and of one doc_id by the operator's hash of the text."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, t or "") for i, t in rows], DOCS)
+    return [(r.doc_id, r.text) for r in df.orderBy("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 11), "text").collect()]
+
+
+@pytest.mark.parametrize("bucket", [64 << 20, 500])
+def test_edited_fingerprints(spark, frame, odd_documents, monkeypatch, bucket):
+    """Every text of every length, in few buckets and in many."""
+    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
+    rng = random.Random(2)
+    rows = [r for r in odd_documents if len(r[1] or "") < 5000]
+    rows += [(1000 + i, "".join(rng.choices("abc d", k=i))) for i in range(90)] + [(2000 + i, "".join(rng.choices("ab", k=rng.randrange(300)))) for i in range(60)]
+    rows += [(None, f"nameless {i} " * (i % 9)) for i in range(40)] + [(77, f"one id {i} " * (i % 9)) for i in range(60)]
+    got = told(fingerprints.edited_fingerprints(frame(DOCS, rows)))
+    assert sorted(got, key=str) == sorted(brute_edited(in_order(spark, rows)), key=str)
+    by = {r[0]: r for r in got}
+    assert by[500][3] == by[501][3] != [] and by[500][6] == 1.0
+
+
+def test_rows_of_one_id_are_dealt_out(spark, monkeypatch):
+    """A doc_id, or none, that holds most rows: no bucket holds more than its share."""
+    monkeypatch.setattr(fingerprints, "BUCKET", 1000)
+    for doc_id in (None, 5, 1 << 62):
+        rows = [(doc_id, f"text {i} " * 3) for i in range(2000)] + [(i, f"own {i}") for i in range(700)]
+        dealt, _ = fingerprints.with_next(spark.createDataFrame(rows, DOCS), lambda df: df)
+        sizes = [r["count"] for r in dealt.groupBy("__bucket").count().collect()]
+        assert max(sizes) <= 0.2 * len(rows) and sum(sizes) == len(rows) + len(sizes)
+
+
+def test_very_long_texts_are_fingerprinted_whole(frame, odd_documents):
+    long = [r for r in odd_documents if r[0] in (400, 401)]
+    got = told(fingerprints.edited_fingerprints(frame(DOCS, long)))
+    assert sorted(got) == sorted(brute_edited(sorted(long)))
 
 
 def test_short_and_unspaced_texts_keep_a_likeness(frame):
@@ -347,7 +375,7 @@ def test_short_and_unspaced_texts_keep_a_likeness(frame):
     letters = {"latin": "abcdefghijklmnop", "khmer": [chr(0x1780 + i) for i in range(30)], "han": [chr(0x20000 + i) for i in range(900)]}
     rows = [(i, "".join(rng.choices(letters[kind], k=60))) for i, kind in enumerate([*letters] * 4)]
     rows += [(100 + i, " ".join("".join(rng.choices(letters["latin"], k=7)) for _ in range(6))) for i in range(9)]
-    assert all(r.char_near_edited > 0 for r in fingerprints.edited_fingerprints(frame(DOCS, rows)).collect())
+    assert all(r.near_edited > 0 for r in fingerprints.edited_fingerprints(frame(DOCS, rows)).collect())
 
 
 def test_edited_fingerprints_of_little(frame):
@@ -357,6 +385,11 @@ def test_edited_fingerprints_of_little(frame):
     assert {r.n_chars for r in fingerprints.edited_fingerprints(frame(DOCS, [(None, "ab"), (None, None)])).collect()} == {2, 0}
 
 
+def test_fingerprints_stay_in_the_jvm(spark, sf):
+    plan = fingerprints.edited_fingerprints(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # -- tokens and packing
 
 
