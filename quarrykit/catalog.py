@@ -224,9 +224,16 @@ def function_source(spark, sf_dir):
     return create(spark=spark).define_function("pages", {"page_num": "Int32", "v": "Int64"}, pages).attach("function://pages").dataframe
 
 
-def _indexed(spark, sf_dir, column):
-    made = create(spark=spark).attach(f"{sf_dir}/customer.parquet").attach(f"{sf_dir}/customer.parquet")
-    return made.index(column)
+def _folder(spark: SparkSession) -> str:
+    dataset_session(spark)
+    return fresh_folder()
+
+
+def _indexed(spark, sf_dir, column, clustered=False):
+    """Two blocks, the first one of several files that are dealt by the column."""
+    made, at = create(spark=spark), f"{_folder(spark)}/customer.parquet"
+    made.spark.read.parquet(f"{sf_dir}/customer.parquet").repartitionByRange(8, column).write.parquet(at)
+    return made.attach(at).attach(f"{sf_dir}/customer.parquet").index(column, clustered)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -249,11 +256,6 @@ def index_miss(spark, sf_dir):
     return _indexed(spark, sf_dir, "c_custkey").filter("c_custkey > 100000000").select("c_custkey, c_acctbal").dataframe
 
 
-def _folder(spark: SparkSession) -> str:
-    dataset_session(spark)
-    return fresh_folder()
-
-
 @query("SELECT c_custkey AS id, c_name FROM customer WHERE c_acctbal > 500")
 def reopen_query(spark, sf_dir):
     at = _folder(spark)
@@ -302,6 +304,110 @@ def command_query(spark, sf_dir):
     return execute(made, "SELECT n_name FROM bundle").dataframe
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 10 AND 20 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 10 AND 20")
+def index_clustered(spark, sf_dir):
+    return _indexed(spark, sf_dir, "c_custkey", True).filter("c_custkey BETWEEN $1 AND $2", [10, 20]).select("c_custkey, c_name").dataframe
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def index_rebuilt(spark, sf_dir):
+    made = _indexed(spark, sf_dir, "c_custkey").drop_index("c_custkey").index("c_mktsegment").rebuild_index("c_mktsegment").reindex()
+    return made.filter("c_mktsegment = 'BUILDING'").select("c_custkey, c_name").dataframe
+
+
+def _text_table(spark, sf_dir, kind):
+    """The nations, some with line ends, quotes and commas in their names, as CSV or JSON lines."""
+    at = f"{_folder(spark)}/nations.{kind}"
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey", "CASE n_regionkey WHEN 0 THEN concat(n_name, char(10), 'second line') WHEN 1 THEN concat('\"', n_name, '\", x') WHEN 2 THEN NULL ELSE n_name END AS label", "n_regionkey + 0.5D AS half")
+    out = rows.coalesce(1).write
+    out.option("header", True).option("escape", '"').csv(at) if kind == "csv" else out.json(at)
+    return create(spark=spark).attach(at)
+
+
+_LABELLED = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE n_regionkey WHEN 0 THEN n_name || chr(10) || 'second line' WHEN 1 THEN '\"' || n_name || '\", x' WHEN 2 THEN NULL ELSE n_name END AS label, n_regionkey + 0.5::DOUBLE AS half FROM nation"
+
+
+@query(_LABELLED)
+def scan_csv(spark, sf_dir):
+    return _text_table(spark, sf_dir, "csv").dataframe
+
+
+@query(_LABELLED)
+def scan_json(spark, sf_dir):
+    return _text_table(spark, sf_dir, "json").dataframe
+
+
+@query("SELECT (SELECT count(*) FROM nation) AS first_rows, (SELECT count(*) FROM region) AS second_rows")
+def raw_blocks(spark, sf_dir):
+    made = dataset(spark, sf_dir, "nation").join("r", f"{sf_dir}/region.parquet", "n_regionkey = r_regionkey")
+    (first,), (second,) = made._state.packs.values()
+    return made.ctx().sql(f"SELECT (SELECT count(*) FROM blocks.__block_{first.id}) AS first_rows, (SELECT count(*) FROM blocks.__block_{second.id}) AS second_rows")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1")
+def reset_query(spark, sf_dir):
+    made = dataset(spark, sf_dir, "nation", _folder(spark)).filter("n_regionkey = 1").commit("one region")
+    return made.filter("n_nationkey > 5").remove_column("n_regionkey").reset().select("n_name").dataframe
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def view_renamed(spark, sf_dir):
+    at = _folder(spark)
+    made = dataset(spark, sf_dir, "customer", at).commit("all")
+    made.create_view("first", made.select("SELECT * WHERE c_mktsegment = 'BUILDING'")).create_view("second", made.select("SELECT * WHERE c_acctbal > 0")).commit("views")
+    made.rename_view("first", "builders").drop_view("second").commit("one view")
+    found = open(at, spark=spark)
+    assert list(found.views().values()) == ["builders"]
+    return found.view("builders").select("c_custkey").dataframe
+
+
+@query("SELECT 2 AS commits, 'two nations' AS last_message, 'nations' AS name, 'of region 1' AS description, true AS changed")
+def log_query(spark, sf_dir):
+    at = _folder(spark)
+    made = dataset(spark, sf_dir, "nation", at).set_name("nations").set_description("of region 1").commit("all")
+    before = made.version
+    made.filter("n_nationkey < 2").commit("two nations")
+    found = open(at, spark=spark)
+    row = (len(found.history()), found.history()[-1].message, found.name, found.description, found.version not in (before, "empty") and len(found.operations()) == 5)
+    return made.spark.createDataFrame([row], "commits int, last_message string, name string, description string, changed boolean")
+
+
+@query("SELECT 25 AS by_property, 25 AS by_stream, 25 AS by_dict, 10 AS shown, true AS explained")
+def results_query(spark, sf_dir):
+    """The same rows by each way out of a dataset."""
+    made = dataset(spark, sf_dir, "nation")
+    row = (made.num_rows, sum(b.num_rows for b in made.as_pyarrow_stream()), len(made.to_dict()["n_name"]), len(made.show()), "Scan parquet" in made.explain())
+    return made.spark.createDataFrame([row], "by_property int, by_stream int, by_dict int, shown int, explained boolean")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN (SELECT * FROM region UNION ALL SELECT * FROM region) r ON n_regionkey = r_regionkey WHERE n_nationkey > 3")
+def command_joins(spark, sf_dir):
+    from .commands import execute
+
+    made = create(spark=spark)
+    for line in (
+        f"ATTACH '{sf_dir}/nation.parquet'",
+        f"INNER JOIN '{sf_dir}/region.parquet' AS r ON n_regionkey = r.r_regionkey",
+        f"ATTACH '{sf_dir}/region.parquet' TO JOIN 'r'",
+        "INDEX n_nationkey",
+        "REINDEX",
+        "DROP INDEX n_nationkey",
+        "FILTER WHERE n_nationkey > 3",
+        "REMOVE COLUMN r_regionkey",
+        "UNDO",
+    ):
+        execute(made, line)
+    return execute(made, "SELECT n_name, r_name FROM bundle").dataframe
+
+
+over("sql_natural", "nation", "SELECT n_nationkey, n_name, n_regionkey FROM bundle NATURAL JOIN (SELECT n_nationkey, n_regionkey FROM bundle WHERE n_nationkey > 3) t")
+over("int_division", "nation", "SELECT n_nationkey, n_nationkey / 2 AS half FROM bundle")
+over("quoted_names", "nation", "SELECT \"n_name\" AS \"Mixed Case\", 'it''s' AS text FROM bundle")
+over("sql_pivot", "orders", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM bundle) PIVOT (count(o_totalprice) FOR o_orderstatus IN ('F' AS f, 'O' AS o))",
+     "SELECT o_orderpriority, count(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f, count(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY o_orderpriority")
+over("fn_map", "nation", "SELECT n_nationkey, element_at(map('k', n_name), 'k') AS name, named_struct('a', n_regionkey, 'b', n_name).a AS region, size(map_keys(map('x', 1, 'y', 2))) AS n FROM bundle",
+     "SELECT n_nationkey, n_name AS name, n_regionkey AS region, 2 AS n FROM nation")
+
 # -- TPC-H
 
 
@@ -342,14 +448,12 @@ def tpch_q5(spark, sf_dir):
     made = dataset(spark, sf_dir, "lineitem").join("o", f"{sf_dir}/orders.parquet", "l_orderkey = o_orderkey").join("s", f"{sf_dir}/supplier.parquet", "l_suppkey = s_suppkey")
     rows = made.select("l_extendedprice, l_discount, o_custkey, s_nationkey")
     spark = rows.spark
-    rows.dataframe.createOrReplaceTempView("supplied")
     customers, nations = (create(spark=spark).attach(f"{sf_dir}/{t}.parquet").dataframe for t in ("customer", "nation"))
-    customers.createOrReplaceTempView("customers_of")
-    nations.createOrReplaceTempView("nations_of")
-    return rows.ctx().sql(
-        """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM supplied JOIN customers_of ON c_custkey = o_custkey AND c_nationkey = s_nationkey
-        JOIN nations_of ON n_nationkey = s_nationkey WHERE n_regionkey = 2 GROUP BY n_name"""
-    )
+    return spark.sql(
+        """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {supplied} JOIN {customers} ON c_custkey = o_custkey AND c_nationkey = s_nationkey
+        JOIN {nations} ON n_nationkey = s_nationkey WHERE n_regionkey = 2 GROUP BY n_name""",
+        supplied=rows.dataframe, customers=customers, nations=nations,
+    )
 
 
 @query("SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")

@@ -1,15 +1,20 @@
-"""A small command language, and its prompt.
+"""A small command language, its prompt, and the server.
 
-    python -m quarrykit.commands --dataset PATH [--create] [--execute COMMAND ...]
+    python -m quarrykit.commands --dataset PATH [--create] --repl
+    python -m quarrykit.commands --dataset PATH [--create] --execute COMMAND ...
+    python -m quarrykit.commands --dataset PATH [--host HOST] [--port PORT]
 """
 
 from __future__ import annotations
 
 import argparse
+import logging
 import re
 import sys
+from collections.abc import Iterator
 
 from .dataset import Dataset, DatasetBuilder, create, open
+from .metrics import set_log_level
 from .plans.sqltext import SqlError, significant, tokenize
 
 HELP = """ATTACH 'path' [TO JOIN 'name']      add a source, or add it to a join
@@ -21,7 +26,8 @@ INDEX column | DROP INDEX column | REINDEX
 CREATE VIEW name AS SELECT ... | RENAME VIEW old TO new | DROP VIEW name
 SET NAME 'name' | SET DESCRIPTION 'text'
 COMMIT 'message' | RESET | UNDO
-SHOW [LIMIT n] | COUNT | SCHEMA | EXPLAIN | HISTORY | STATUS | HELP | EXIT"""
+SHOW [LIMIT n] | COUNT | SCHEMA | EXPLAIN | HISTORY | STATUS | CLEAR | HELP | EXIT"""
+LEVELS = {"ui": "INFO", "trace": "DEBUG", "debug": "DEBUG", "info": "INFO", "warn": "WARNING", "error": "ERROR"}
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
 STRING = r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*")"""
 
@@ -90,6 +96,8 @@ def answer(dataset: DatasetBuilder, line: str) -> str:
     first = words[0].upper() if words else ""
     if first == "HELP":
         return HELP
+    if first == "CLEAR":
+        return "\033[2J\033[H"
     if first == "SCHEMA":
         return str(dataset.schema)
     if first == "COUNT":
@@ -107,15 +115,60 @@ def answer(dataset: DatasetBuilder, line: str) -> str:
     return "OK" if out is dataset else out.dataframe._show_string(20)
 
 
+def completions(dataset: Dataset, text: str) -> list[str]:
+    """What may follow at the prompt: words of commands, names of columns and views, that begin so."""
+    words = {w for line in HELP.splitlines() for w in re.findall(r"\b[A-Z]{2,}\b", line)}
+    try:
+        words |= {*dataset.dataframe.columns, *dataset.views().values()}
+    except Exception:  # noqa: BLE001  rows that can't be read have no columns to offer
+        pass
+    return sorted(w for w in words if w.upper().startswith(text.upper()))
+
+
+def prompt(dataset: Dataset) -> Iterator[str]:
+    """Lines from the terminal, with completion where readline is there, or from what is piped in."""
+    if not sys.stdin.isatty():
+        yield from sys.stdin
+        return
+    try:
+        import readline
+
+        readline.set_completer(lambda text, i: [*completions(dataset, text), None][i])
+        readline.parse_and_bind("tab: complete")
+    except ImportError:
+        pass
+    while True:
+        try:
+            yield input("> ")
+        except EOFError:
+            return
+
+
 def main(arguments: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="quarrykit")
+    parser = argparse.ArgumentParser(prog="quarrykit", description="A prompt for a dataset with --repl or --execute, else its Arrow Flight server.")
     parser.add_argument("--dataset", required=True)
-    parser.add_argument("--create", action="store_true")
-    parser.add_argument("--execute", action="append", default=[])
+    parser.add_argument("--create", action="store_true", help="make a new dataset if there is none")
+    parser.add_argument("--repl", action="store_true", help="read commands from the terminal")
+    parser.add_argument("--execute", action="append", default=[], help="run this command; may be repeated")
+    parser.add_argument("--host", default="127.0.0.1", help="the server has no authentication: name other addresses with care")
+    parser.add_argument("--port", type=int, default=50051)
+    parser.add_argument("--log-level", choices=sorted(LEVELS), default="ui")
     got = parser.parse_args(arguments)
-    dataset: Dataset = create(got.dataset) if got.create else open(got.dataset).extend()
-    lines = iter(got.execute) if got.execute else sys.stdin
-    for line in lines:
+    logging.basicConfig(format="%(message)s" if got.log_level == "ui" else "%(asctime)s %(levelname)s %(name)s: %(message)s")
+    set_log_level(LEVELS[got.log_level])
+    try:
+        dataset = open(got.dataset).extend()
+    except FileNotFoundError:
+        if not got.create:
+            raise
+        dataset = create(got.dataset)
+    if not (got.repl or got.execute):
+        from . import flight
+
+        print(f"Serving {got.dataset} at grpc://{got.host}:{got.port}")
+        flight.serve(dataset, got.host, got.port).serve()
+        return 0
+    for line in got.execute or prompt(dataset):
         if line.strip().upper().rstrip(";") in ("EXIT", "QUIT"):
             break
         if not line.strip():

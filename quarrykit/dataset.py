@@ -23,7 +23,7 @@ from .plans.state import State
 from .progress import progress
 from .session import dataset_session
 from .sources import readers
-from .sources.files import Files, fresh_folder, resolve
+from .sources.files import Files, azure_account, fresh_folder, resolve, use_account
 from .schema import Schema
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "full outer": "full"}
@@ -34,6 +34,9 @@ CONFIG_KEYS = {
     "session_token": "fs.s3a.session.token",
     "endpoint": "fs.s3a.endpoint",
     "allow_http": "fs.s3a.connection.ssl.enabled",
+    "account_name": "fs.azure.account.name",
+    "account_key": "fs.azure.account.key",
+    "service_account_path": "google.cloud.auth.service.account.json.keyfile",
 }
 
 
@@ -219,7 +222,7 @@ class DatasetBuilder(Dataset):
         with progress(f"Attaching {url}", 2) as step:
             found = readers.describe(self.spark, at, self._state.functions)
             step(1, "schema and version read")
-            self._add(ops.AttachBlock(at, found.version, new_id(), pack, to_manifest(found.schema), found.num_rows, found.bytes))
+            self._add(ops.AttachBlock(at, found.version, new_id(), pack, to_manifest(found.schema), found.num_rows, found.bytes, found.multi_line))
 
     def attach(self, url: str) -> DatasetBuilder:
         """Adds a source's rows to the data."""
@@ -297,9 +300,11 @@ class DatasetBuilder(Dataset):
 
     # -- indexes
 
-    def index(self, column: str) -> DatasetBuilder:
+    def index(self, column: str, clustered: bool = False) -> DatasetBuilder:
+        """Indexes a column: which files hold which values. clustered: the index also keeps a copy of the rows, sorted by
+        the column, and lookups read that, so they skip what they don't need inside a file of any source too."""
         with self._change(f"Index column {column}"):
-            self._add(ops.CreateIndex(column, new_id()))
+            self._add(ops.CreateIndex(column, new_id(), clustered or None))
             self.reindex()
         return self
 
@@ -326,10 +331,10 @@ class DatasetBuilder(Dataset):
                 done = {b for p in parts for b in p.blocks}
                 todo = [b for b in self._state.packs[self._state.base] if pruning.block_key(b) not in done and pruning.indexable(b)]
                 if todo:
+                    clustered = next((o.clustered for o in self._state.operations if o.type == "createIndex" and o.id == key), None)
                     with progress(f"Indexing {column}", len(todo)) as step:
-                        path, found = pruning.build(self._state, todo, source, self._url)
-                        step(len(todo), "written")
-                    self._add(ops.IndexBlocks(key, tuple(pruning.block_key(b) for b in todo), path, source, found))
+                        path, found = pruning.build(self._state, todo, source, self._url, bool(clustered), step)
+                    self._add(ops.IndexBlocks(key, tuple(pruning.block_key(b) for b in todo), path, source, found, clustered))
         return self
 
     # -- views
@@ -437,13 +442,17 @@ def configure(spark: SparkSession, stored: dict[str, dict[str, str]], passed: di
     bucket that the prefix names."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for prefix, pairs in [*sorted(stored.items(), key=lambda x: len(x[0])), ("", passed or {})]:
-        for key, value in pairs.items():
+        for key, value in sorted(pairs.items(), key=lambda x: x[0] != "account_name"):  # other settings need its value
             if isinstance(value, dict):
                 configure(spark, {key: value}, None)
                 continue
             name = CONFIG_KEYS.get(key, key)
             if prefix and name.startswith("fs.s3a."):
                 name = name.replace("fs.s3a.", f"fs.s3a.bucket.{prefix.partition('://')[2].split('/')[0]}.")
+            if key == "account_name":
+                use_account(str(value))
+            if key == "account_key" and azure_account():
+                name = f"fs.azure.account.key.{azure_account()}.dfs.core.windows.net"
             if key == "allow_http":
                 value = str(str(value).lower() != "true").lower()
             hadoop.set(name, str(value))

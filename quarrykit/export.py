@@ -47,7 +47,7 @@ def export_tar(spark: SparkSession, folder: str, path: str) -> str:
         fs, there = files._at(at)
         for s in fs.listStatus(there):
             own = s.getPath().getName()
-            if own.startswith(".claim-") or own.endswith(".crc"):
+            if own.startswith(".new-") or own.endswith(".crc"):
                 continue
             below = f"{at.rstrip('/')}/{own}"
             if s.isDirectory():

@@ -13,7 +13,7 @@ except ImportError:
     flight = None
 
 
-def serve(dataset: Dataset, host: str = "0.0.0.0", port: int = 50051):
+def serve(dataset: Dataset, host: str = "127.0.0.1", port: int = 50051):
     """A server that is not started yet: serve() on it blocks. Rows are sent a batch at a time."""
     if flight is None:
         raise RuntimeError("this pyarrow has no Flight")

@@ -1,4 +1,7 @@
-"""The log on disk: one init file, then one file for each commit."""
+"""The log on disk: one init file, then one file for each commit.
+
+A commit exists from the moment that its data are renamed to ``.commit-N``, a name made from its number alone. The file
+of number and hash, which others read, is written after that, and again by whoever finds that it is missing."""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ import dataclasses
 import hashlib
 import json
 import posixpath
+import uuid
 from datetime import UTC, datetime
 
 from .operators.ops import Operation
@@ -16,7 +20,7 @@ try:
 except ImportError:  # JSON is YAML too
     yaml = None
 
-LOG, INIT = "_log", f"{0:017}.yaml"
+LOG, INIT, TAKEN = "_log", f"{0:017}.yaml", ".commit-"
 
 
 def dump(data: dict) -> bytes:
@@ -90,22 +94,31 @@ def write_init(files: Files, folder: str, init: dict) -> None:
 
 
 def read_commits(files: Files, folder: str) -> list[tuple[int, Commit]]:
-    out = []
-    for name in files.list(log_of(folder)):
-        if name.endswith(".yaml") and name != INIT and name[:5].isdigit():
-            out.append((int(name[:5]), Commit.from_dict(parse(files.read(f"{log_of(folder)}/{name}")), folder)))
-    numbers = [n for n, _ in out]
-    if len(set(numbers)) != len(numbers):
+    names = files.list(log_of(folder))
+    taken = {int(n.removeprefix(TAKEN)): n for n in names if n.startswith(TAKEN) and n.removeprefix(TAKEN).isdigit()}
+    shown = [(int(n[:5]), n) for n in names if n.endswith(".yaml") and n != INIT and n[:5].isdigit()]
+    if len({n for n, _ in shown}) != len(shown):
         raise ValueError(f"two commits of {folder} have the same number")
-    return sorted(out, key=lambda x: x[0])
+    found = dict(shown) | taken  # what was renamed is whole; the other file may be cut off by a crash
+    return [(n, Commit.from_dict(parse(files.read(f"{log_of(folder)}/{found[n]}")), folder)) for n in sorted(found)]
 
 
 def write_commit(files: Files, folder: str, number: int, commit: Commit) -> str:
-    """A number is taken once: of two writers the second one fails."""
-    files.create(f"{log_of(folder)}/.claim-{number:05}", b"")
+    """A number is taken once: of two writers the second one fails. A writer that breaks off before the rename leaves
+    nothing in the way, and one that breaks off after it has committed."""
+    log = log_of(folder)
     data = dump(commit.to_dict())
+    beside = f"{log}/.new-{uuid.uuid4().hex}"
+    files.create(beside, data)
+    try:
+        if any(n.startswith(f"{number:05}") and n.endswith(".yaml") and n != INIT for n in files.list(log)):
+            raise FileExistsError(f"commit {number} of {folder} exists")
+        files.take(beside, f"{log}/{TAKEN}{number:05}")
+    except FileExistsError:
+        files.delete(beside)
+        raise
     name = f"{number:05}{hashlib.sha256(data).hexdigest()[:12]}.yaml"
-    files.create(f"{log_of(folder)}/{name}", data)
+    files.create(f"{log}/{name}", data)
     return name
 
 

@@ -92,6 +92,7 @@ class AttachBlock(Operation):
     schema: dict | None = None
     num_rows: int | None = None
     bytes: int | None = None
+    multi_line: bool | None = None
 
     def describe(self) -> str:
         return f"Attach {self.source}"
@@ -238,6 +239,7 @@ class CreateIndex(Operation):
     type = "createIndex"
     column: str
     id: str
+    clustered: bool | None = None
 
     def describe(self) -> str:
         return f"Index column {self.column}"
@@ -254,7 +256,8 @@ class CreateIndex(Operation):
 
 @dataclasses.dataclass(frozen=True)
 class IndexBlocks(Operation):
-    """An index file: which files of these block versions hold which values of a source column."""
+    """An index file: which files of these block versions hold which values of a source column. clustered: the files
+    are those of a copy of the rows, sorted by the column, beside the index."""
 
     type = "indexBlocks"
     index_id: str
@@ -262,6 +265,7 @@ class IndexBlocks(Operation):
     path: str
     source_column: str
     cardinality: int = 0
+    clustered: bool | None = None
 
     def describe(self) -> str:
         return f"Index blocks {', '.join(self.blocks)}"

@@ -1,17 +1,24 @@
 """Column indexes: which files hold a value, and which files a query need not read.
 
 An index is a Parquet table of (value, block, file, rows), sorted by value, so that a lookup reads a few row
-groups. It only takes files out of a scan; the filter itself always stays, so a result never depends on it.
+groups. It only takes files out of a scan; the filter itself always stays, so a result never depends on it. The files
+of a clustered index are those of a copy of the block's rows, dealt and sorted by the column: a lookup reads few of
+them, and Parquet's own statistics skip most of each, whatever the source's format and number of files.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from typing import TYPE_CHECKING, Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..metrics import log
 from ..sources import readers
 from ..sources.files import real
 from . import lineage
@@ -22,6 +29,8 @@ if TYPE_CHECKING:
 
 #: A lookup that finds more files than this, or more than this share of those indexed, isn't used.
 MOST_FILES, MOST_SHARE = 10_000, 0.2
+#: Bytes of a row group of a clustered copy.
+ROW_GROUP = 16 << 20
 
 
 class Bound(NamedTuple):
@@ -135,21 +144,51 @@ def block_key(block) -> str:
     return f"{block.id}@{block.version_}"
 
 
-def build(state: State, blocks: list, column: str, folder: str) -> tuple[str, int]:
-    """Writes the index of a source column over blocks; returns its path and its number of values."""
-    parts: DataFrame | None = None
-    for b in blocks:
-        one = state.block(b).select(F.col(f"`{column.replace('`', '``')}`").alias("value"), F.lit(block_key(b)).alias("block"), F.col("_metadata.file_path").alias("file"))
-        one = one.groupBy("value", "block", "file").agg(F.count("*").alias("rows"))
-        parts = one if parts is None else parts.unionByName(one)
+class Found(NamedTuple):
+    """The files of a block that can hold rows of the result; copies: of the clustered copy of its rows."""
+
+    files: list[str]
+    copies: bool
+
+
+def build(state: State, blocks: list, column: str, folder: str, clustered: bool, step: Callable[[int, str], None]) -> tuple[str, int]:
+    """Writes the index of a source column over blocks, one after the other; returns its path and its number of
+    values."""
     name = f"idx_{uuid.uuid4().hex[:12]}"
     at = real(f"{folder.rstrip('/')}/{name}")
-    parts.repartitionByRange(F.col("value")).sortWithinPartitions("value").write.parquet(at)
+    value = F.col(f"`{column.replace('`', '``')}`")
+    for i, b in enumerate(blocks):
+        rows, file = state.block(b), F.col("_metadata.file_path")
+        if clustered:
+            copy = f"{at}-rows/{i}"
+            rows.repartitionByRange(value).sortWithinPartitions(value).write.option("parquet.block.size", ROW_GROUP).parquet(copy)
+            rows, file = state.spark.read.schema(b.struct()).parquet(copy), F.regexp_extract(F.col("_metadata.file_path"), f"({name}-rows/.*)", 1)
+        one = rows.select(value.alias("value"), F.lit(block_key(b)).alias("block"), file.alias("file"))
+        one = one.groupBy("value", "block", "file").agg(F.count("*").alias("rows"))
+        one.repartitionByRange("value").sortWithinPartitions("value").write.mode("append").parquet(at)
+        step(i + 1, b.source)
     found = state.spark.read.parquet(at).agg(F.approx_count_distinct("value")).first()[0]
     return name, int(found)
 
 
-def files_to_read(state: State) -> dict[str, list[str] | None] | None:
+_looked_up: OrderedDict[tuple, tuple[int, list]] = OrderedDict()
+
+
+def _lookup(state: State, paths: tuple[str, ...], covered: tuple[str, ...], bound: Bound) -> tuple[int, list]:
+    """How many (block, file) pairs the index has, and those that the bound finds. An index's files never change,
+    so what was found is kept."""
+    key = (paths, covered, repr(bound))
+    if key not in _looked_up:
+        table = state.spark.read.parquet(*paths).where(F.col("block").isin(*covered)).select("value", "block", "file")
+        every = table.select("block", "file").distinct().count()
+        hits = table.where(bound.on(F.col("value"))).select("block", "file").distinct().limit(MOST_FILES + 1).collect()
+        _looked_up[key] = (every, hits)
+        if len(_looked_up) > 1000:
+            _looked_up.popitem(last=False)
+    return _looked_up[key]
+
+
+def files_to_read(state: State) -> dict[str, Found] | None:
     """For blocks of the base pack that an index covers at their version: the files that can hold rows of
     the result, by the most selective index. None: no index helps."""
     if not state.indexes:
@@ -159,24 +198,24 @@ def files_to_read(state: State) -> dict[str, list[str] | None] | None:
     for bound in lineage.base_bounds(state):
         if bound.column in taken:
             continue
-        parts = [p for _, ps in state.indexes.values() for p in ps if p.source_column == bound.column]
         current = {block_key(b): b for b in state.packs[state.base]}
-        covered = {k for p in parts for k in p.blocks if k in current}
-        if not covered:
-            continue
+        parts = [p for _, ps in state.indexes.values() for p in ps if p.source_column == bound.column and any(k in current for k in p.blocks)]
+        # the last part that has a block tells of it
+        of = {k: p for p in parts for k in p.blocks if k in current}
+        folder = state.folder.rstrip("/")
+        every, hits = 0, []
         try:
-            table = state.spark.read.parquet(*(real(f"{state.folder.rstrip('/')}/{p.path}") for p in parts))
-            all_files = table.where(F.col("block").isin(*covered)).select("file").distinct().count()
-            hits = table.where(bound.on(F.col("value")) & F.col("block").isin(*covered)).select("block", "file").distinct().limit(MOST_FILES + 1).collect()
-        except Exception:  # noqa: BLE001  an index that can't be read is not used
-            continue
-        if len(hits) > MOST_FILES:
+            for p in {id(p): p for p in of.values()}.values():
+                n, found = _lookup(state, (real(f"{folder}/{p.path}"),), tuple(k for k in of if of[k] is p), bound)
+                every, hits = every + n, [*hits, *found]
+        except (PySparkException, Py4JJavaError) as e:
+            log.warning("an index of %s can't be read, and isn't used: %s", bound.column, str(e).splitlines()[0])
             continue
-        share = len({h.file for h in hits}) / max(1, all_files)
-        if len(covered) < 2 and all_files < 2 and hits:
+        if not of or len(hits) > MOST_FILES:
             continue
-        if share <= MOST_SHARE or (share < 1 and all_files <= 16):
-            files = {current[k].id: [h.file for h in hits if h.block == k] for k in covered}
+        share = len(hits) / max(1, every)
+        if share <= MOST_SHARE or any(p.clustered for p in of.values()) or (share < 1 and every <= 16):
+            files = {current[k].id: Found([real(f"{folder}/{h.file}") if p.clustered else h.file for h in hits if h.block == k], bool(p.clustered)) for k, p in of.items()}
             if best is None or share < best[0]:
                 best = (share, files)
     return best[1] if best else None

@@ -73,17 +73,19 @@ class State:
             return "empty"
         return hashlib.sha256("".join(o.version() for o in self.operations).encode()).hexdigest()[:12]
 
-    def block(self, block, files: list[str] | None = None) -> DataFrame:
-        return readers.scan(self.spark, block.source, block.struct(), self.functions, files)
+    def block(self, block, found: pruning.Found | None = None) -> DataFrame:
+        if found and found.copies:
+            return self.spark.read.schema(block.struct()).parquet(*found.files)
+        return readers.scan(self.spark, block.source, block.struct(), self.functions, found.files if found else None, block.multi_line)
 
-    def pack(self, key: str, files: dict[str, list[str] | None] | None = None) -> DataFrame:
+    def pack(self, key: str, files: dict[str, pruning.Found] | None = None) -> DataFrame:
         """The union of a pack's blocks. files: for blocks found in an index, the files that are read."""
         blocks = self.packs[key]
         if not blocks:
             raise ValueError(f"Pack {key} has no blocks")
         first = blocks[0].struct() or self.block(blocks[0]).schema
         files = files or {}
-        wanted = [b for b in blocks if files.get(b.id) != []]
+        wanted = [b for b in blocks if b.id not in files or files[b.id].files]
         if not wanted:
             return self.block(blocks[0]).where("false")
         return reduce(DataFrame.union, [like_first(self.block(b, files.get(b.id)), first) for b in wanted])

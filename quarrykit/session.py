@@ -30,7 +30,7 @@ _made: dict[int, tuple[SparkSession, SparkSession]] = {}
 def dataset_session(spark: SparkSession | None = None) -> SparkSession:
     """A session of the same application with the dialect's settings; the caller's own is left alone."""
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.appName("quarrykit").getOrCreate()
-    use_scratch(spark.conf.get("spark.checkpoint.dir", None))
+    use_scratch(spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master.startswith("local"))
     held = _made.get(id(spark))
     if held is None or held[0] is not spark or spark.sparkContext._jsc is None:
         _made[id(spark)] = held = (spark, spark.newSession())

@@ -8,20 +8,25 @@ import posixpath
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _scratch: dict[str, str] = {}
 
 
-def use_scratch(shared: str | None) -> None:
-    """Where datasets without a place of their own are kept: a folder that all executors share."""
+def use_scratch(shared: str | None, local: bool = True) -> None:
+    """Where datasets without a place of their own are kept: a folder that all executors share. local: whether driver
+    and executors are one machine, and may use a folder of it."""
     if shared:
         _scratch["shared"] = shared.rstrip("/")
+    _scratch["local"] = "yes" if local else ""
 
 
 def scratch() -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir, else a local one (one machine)."""
     if "shared" not in _scratch:
+        if not _scratch.get("local", "yes"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _scratch["shared"] = "file://" + tempfile.mkdtemp(prefix="quarrykit-")
     return _scratch["shared"]
 
@@ -42,9 +47,27 @@ def real(url: str) -> str:
         return f"{_scratch['memory']}/{url.removeprefix('memory://').lstrip('/')}"
     if "://" not in url:
         return "file://" + os.path.abspath(url)
+    scheme, _, rest = url.partition("://")
+    if scheme == "s3":
+        return f"s3a://{rest}"
+    if scheme in ("az", "azure"):  # container/path of the account that is set
+        account = _scratch.get("azure", "")
+        if not account:
+            raise ValueError(f"{url}: set the config 'account_name' first")
+        container, _, path = rest.partition("/")
+        return f"abfss://{container}@{account}.dfs.core.windows.net/{path}"
     return url
 
 
+def use_account(name: str) -> None:
+    """The Azure storage account that az:// and azure:// URLs are of."""
+    _scratch["azure"] = name
+
+
+def azure_account() -> str:
+    return _scratch.get("azure", "")
+
+
 def resolve(url: str, folder: str) -> str:
     """A relative path is below the dataset's folder, and stays there."""
     if "://" in url or os.path.isabs(url):
@@ -94,6 +117,18 @@ class Files:
         finally:
             out.close()
 
+    def take(self, beside: str, url: str) -> None:
+        """Renames a file to a name that no file has: of two that want the name, the second one fails."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        (_, a), (_, b) = self._at(beside), self._at(url)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(a, b, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise FileExistsError(f"{url} exists") from e
+            raise
+
     def put(self, local: str, url: str) -> None:
         """A local file of the driver to a new or replaced one: beside it first, then renamed over it."""
         fs, path = self._at(url)

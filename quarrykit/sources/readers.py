@@ -18,6 +18,7 @@ class Described(NamedTuple):
     version: str
     num_rows: int | None
     bytes: int | None
+    multi_line: bool | None = None
 
 
 def kind_of(url: str) -> str:
@@ -44,16 +45,23 @@ def _widened(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, wide(f.dataType), True) for f in schema])
 
 
-def scan(spark: SparkSession, url: str, schema: T.StructType | None, functions: FunctionRegistry, files: list[str] | None = None) -> DataFrame:
-    """The rows behind a URL. files: only these of a folder's files."""
+def spans_lines(spark: SparkSession, url: str) -> bool:
+    """Whether a record of a CSV source has a quoted line end: then some line has an odd number of quotes."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(real(url)).where(odd % 2 == 1).limit(1).count() > 0
+
+
+def scan(spark: SparkSession, url: str, schema: T.StructType | None, functions: FunctionRegistry, files: list[str] | None = None, multi_line: bool | None = None) -> DataFrame:
+    """The rows behind a URL. files: only these of a folder's files. multi_line: a CSV source's records may have
+    quoted line ends, so each file is read by one task."""
     kind = kind_of(url)
     if kind == "function":
         return function_scan(spark, function_name(url), functions)
     reader = spark.read if schema is None else spark.read.schema(schema)
     at = files or [real(url)]
     if kind == "csv":
-        # lines are records, so that a large file is read by many tasks
-        reader = reader.options(header=True, quote='"', escape='"', enforceSchema=True)
+        # where lines are records, a large file is read by many tasks
+        reader = reader.options(header=True, quote='"', escape='"', enforceSchema=True, multiLine=bool(multi_line))
         return (reader if schema is not None else reader.option("inferSchema", True)).csv(at)
     if kind == "json":
         return reader.json(at)
@@ -68,10 +76,6 @@ def _json_order(spark: SparkSession, url: str, schema: T.StructType) -> T.Struct
     return T.StructType([by[n] for n in order if n in by] + [f for f in schema if f.name not in order])
 
 
-#: Rows of text sources are counted at attach up to this size; Parquet's are in its footers.
-COUNTED_BYTES = 1 << 30
-
-
 def describe(spark: SparkSession, url: str, functions: FunctionRegistry) -> Described:
     """Schema, version and sizes of a source. A missing file or function is an error here."""
     kind = kind_of(url)
@@ -79,12 +83,13 @@ def describe(spark: SparkSession, url: str, functions: FunctionRegistry) -> Desc
         schema, version, _ = functions.need(function_name(url))
         return Described(schema, version, None, None)
     version, size = Files(spark).version(url)
-    found = scan(spark, url, None, functions)
+    multi_line = spans_lines(spark, url) if kind == "csv" else None
+    found = scan(spark, url, None, functions, None, multi_line)
     schema = found.schema
     if kind != "parquet":
         schema = _widened(schema)
     if kind == "json":
         schema = _json_order(spark, url, schema)
     schema = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
-    rows = scan(spark, url, schema, functions).agg(F.count("*")).first()[0] if kind == "parquet" or size <= COUNTED_BYTES else None
-    return Described(schema, version, rows, size)
+    rows = scan(spark, url, schema, functions, None, multi_line).agg(F.count("*")).first()[0]
+    return Described(schema, version, rows, size, multi_line or None)

@@ -1,4 +1,4 @@
-"""Results batch by batch: one partition's rows at a time are on the driver."""
+"""Results batch by batch, as Arrow makes them on the executors: one partition's rows at a time are on the driver."""
 
 from __future__ import annotations
 
@@ -12,19 +12,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 def stream_batches(df: DataFrame, size: int = 8192) -> Iterator[pa.RecordBatch]:
     """Record batches in partition order, without holding the whole result."""
     schema = to_arrow_schema(df.schema)
-    names, rows = list(range(len(schema))), []
-
-    def batch() -> pa.RecordBatch:
-        columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in names]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        rows.append(row.asDict(True).values() if len(set(df.columns)) == 0 else tuple(row))
-        if len(rows) == size:
-            yield batch()
-            rows = []
-    if rows:
-        yield batch()
+    if not len(schema):
+        return
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as arrow
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                sink = arrow.BufferOutputStream()
+                with arrow.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, size))
+                yield arrow.RecordBatch.from_arrays([arrow.array([sink.getvalue().to_pybytes()], arrow.binary())], ["batch"])
+
+    # names may repeat, which Arrow's way through Python doesn't allow
+    numbered = df.toDF(*(f"c{i}" for i in range(len(schema))))
+    for row in numbered.mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+        with pa.ipc.open_stream(row.batch) as stream:
+            for batch in stream:
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema)
 
 
 class RecordBatchStream:
