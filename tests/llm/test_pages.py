@@ -1,9 +1,12 @@
 """Operators over pages against brute force."""
 
+import gzip
 import hashlib
 import html
 import io
+import json
 import random
+import re
 import struct
 import zipfile
 
@@ -48,6 +51,76 @@ def test_payloads_come_back(spark, frame, tmp_path):
             assert z.testzip() is None and {warc.DATA, warc.INDEX, warc.PACKAGE} == set(z.namelist())
 
 
+def test_rows_with_odd_urls_and_long_payloads(spark, frame, tmp_path):
+    long = "".join(random.Random(4).choices("abcdefghij <>", k=9_000_000))
+    rows = [(1, None, "no url"), (2, "", "empty url"), (3, "http://h/a b\r\nX-Page-ID: 9", "line ends"), (4, "http://h/", long), (4, "http://h/", long), (5, "x", None)]
+    archives = warc.write_archives(frame(PAGES, rows), f"file://{tmp_path}/a")
+    got = warc.read_archives(spark, archives).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode() if r.payload is not None else None) for r in got if r.page_id != 1) == sorted(
+        (i, u.replace("\r\n", "%0D%0A"), h or "") for i, u, h in rows if i != 1
+    )
+    assert [r.url for r in got if r.page_id == 1] == [None]
+    ids = set()
+    for r in archives.collect():
+        with zipfile.ZipFile(r.archive.removeprefix("file://")) as z:
+            entries = [line for line in z.read(warc.INDEX).decode().splitlines()]
+            assert entries == sorted(entries) and all(len(x.split(" ", 2)) == 3 for x in entries)
+            data = gzip.decompress(z.read(warc.DATA)).decode()
+            ids.update(re.findall("WARC-Record-ID: (.*)\r", data))
+    assert len(ids) == len(rows)  # equal rows have ids of their own
+
+
+def foreign_record(kind, target, block, content_type, extra=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{random.random()}>\r\nWARC-Date: 2020-02-02T02:02:02Z\r\n"
+    return (head + (f"warc-target-uri:{target}\r\n" if target else "") + extra + f"Content-Type: {content_type}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", [True, False])
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("package", [True, False])
+def test_archives_of_others(spark, tmp_path, index, packed, package):
+    """Two WARC files of other names, other record types, chunked answers, with and without index and package."""
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nabcd\r\n3;x=y\r\nefg\r\n0\r\n\r\n"
+    files = {
+        "rec-a": [("warcinfo", None, b"software: x\r\n", "application/warc-fields"), ("response", "http://a/1", b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n<p>one</p>", "application/http; msgtype=response")],
+        "rec-b": [("resource", "http://a/2", b"<p>two \xff</p>", "text/html"), ("response", "http://a/3", chunked, "application/http;msgtype=response"), ("request", "http://a/3", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request")],
+    }
+    at = tmp_path / "other.wacz"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("pages/pages.jsonl", "{}")
+        lines, names = [], []
+        for name, records in files.items():
+            name += ".warc.gz" if packed else ".warc"
+            data = b""
+            for r in records:
+                one = foreign_record(*r, extra="X-Long: a\r\n  folded\r\n")
+                one = gzip.compress(one) if packed else one
+                lines.append(f"com,a)/ 20200202020202 {json.dumps({'url': r[1], 'offset': str(len(data)), 'length': len(one), 'filename': name})}")
+                data += one
+            z.writestr(f"archive/{name}", data)
+            names.append(f"archive/{name}")
+        if index:
+            z.writestr("indexes/own.cdx.gz", gzip.compress(("!meta {}\n" + "\n".join(lines)).encode()))
+        if package:
+            z.writestr("datapackage.json", json.dumps({"resources": [{"path": x} for x in [*names, "pages/pages.jsonl", *["indexes/own.cdx.gz"] * index]]}))
+    got = warc.read_archives(spark, spark.createDataFrame([(f"file://{at}",)], "archive string")).collect()
+    payloads = {("warcinfo", None): b"software: x\r\n", ("response", "http://a/1"): b"<p>one</p>", ("resource", "http://a/2"): b"<p>two \xff</p>", ("response", "http://a/3"): b"abcdefg", ("request", "http://a/3"): b""}
+    assert {(r.record_type, r.url): bytes(r.payload) for r in got} == payloads and len(got) == 5
+    assert all(r.payload_digest == hashlib.sha256(bytes(r.payload)).hexdigest() and r.payload_bytes == len(r.payload) and r.page_id is None for r in got)
+
+
+def test_damage_is_an_error(spark, frame, tmp_path):
+    (r,) = warc.write_archives(frame(PAGES, [(1, "u", "payload " * 50)]).coalesce(1), f"file://{tmp_path}/a").collect()
+    path = r.archive.removeprefix("file://")
+    with zipfile.ZipFile(path) as z:
+        members = {n: z.read(n) for n in z.namelist()}
+    whole = gzip.decompress(members[warc.DATA]).replace(b"payload payload", b"payload PAYLOAD", 1)
+    with zipfile.ZipFile(tmp_path / "b.wacz", "w") as z:
+        z.writestr(warc.DATA, gzip.compress(whole))
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archives(spark, spark.createDataFrame([(f"file://{tmp_path}/b.wacz",)], "archive string")).collect()
+
+
 def test_archives_are_rolled(spark, frame, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
     monkeypatch.setattr(warc, "RANGE_BYTES", 700)
@@ -364,8 +437,6 @@ def test_wide_and_deep_pages_end_soon(frame):
 
 
 def article_of(page):
-    import re
-
     return " ".join(html.unescape(re.sub("<[^>]*>", " ", page.split("<article>", 1)[1].split("</article>")[0])).split())
 
 
