@@ -1,13 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 The k-grams are of characters: code points, A-Z in lower case and white space as spaces, none left out, so that a
-place in the text is a place among the k-grams. A k-gram's hash is its polynomial modulo the prime 2^31 - 1, as a
-rolling hash has it; SQL functions carry no state along an array, so the hashes of 2k characters come from those of
-k. Of each window of w consecutive k-grams the one with the smallest hash is chosen, the rightmost of equal ones.
+place in the text is a place among the k-grams. A k-gram's hash rolls: each character's 64-bit hash enters by xor, all
+move on by one bit, and the one k places back leaves. SQL functions carry no state along an array, so the hashes of 2k
+characters come from those of k, which gives the same values. Of each window of w consecutive k-grams the one with the smallest hash is chosen, the rightmost of equal ones.
 Any w + k - 1 characters that two texts share in the same order make them share a chosen hash, and no match shorter
 than k is seen. Positions (of the k-gram's first character) are kept.
 
-One number holds hash and position: 31 bits of hash, then the position's complement in 32 bits, so that the smaller
+One number holds hash and position: 31 bits of the hash, then the position's complement in 32 bits, so that the smaller
 number is the smaller hash and, of equal hashes, the position further right.
 """
 
@@ -19,26 +19,21 @@ from pyspark.sql.window import Window
 
 from .common import bucket_of, materialize, partitions
 
-PRIME, BASE = (1 << 31) - 1, 1_000_003
 #: Bits of a position: a text of Spark has fewer characters.
 PLACE = 32
-LAST = (1 << PLACE) - 1
+LAST, HASH = (1 << PLACE) - 1, ((1 << 31) - 1) << PLACE
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # White space.
 SPACES = "\t\n\x0b\x0c\r\x85\xa0"
 
 
-def _apart(array: str, by: int, step: str) -> str:
-    """SQL: step(a, b) of each element and the one ``by`` places on."""
-    least = f"greatest(size({array}) - {by}, 0)"
-    return f"zip_with(slice({array}, 1, {least}), slice({array}, {by} + 1, {least}), (a, b) -> {step})"
-
-
 def _doubled(df: DataFrame, array: str, size: int, step) -> tuple[DataFrame, str]:
-    """What ``step(width)`` makes of each ``size`` consecutive elements, from halves. size is a power of 2."""
+    """What ``step(width)`` makes of each ``size`` consecutive elements, from halves a and b of ``width`` each. Near the
+    end, where b lies beyond it, that is what it makes of a and null: to be cut off. size is a power of 2."""
     width, at = 1, array
     while width < size:
-        df, at = df.withColumn(f"{array}{2 * width}", F.expr(_apart(f"`{at}`", width, step(width)))), f"{array}{2 * width}"
+        later = f"slice(`{at}`, {width + 1}, greatest(size(`{at}`) - {width}, 0))"
+        df, at = df.withColumn(f"{array}{2 * width}", F.expr(f"zip_with(`{at}`, {later}, (a, b) -> {step(width)})")), f"{array}{2 * width}"
         width *= 2
     return df, at
 
@@ -48,17 +43,18 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 8, w: int = 8) -> DataFr
 
     k and w are powers of 2. Null and empty texts have none; a text of fewer than k characters is one k-gram; of
     fewer than w k-grams, one window. Texts of any length and script are read whole."""
-    columns = df.columns
-    chars, grams = f"__{out}_chars", f"__{out}_grams"
+    columns, chars = df.columns, f"__{out}_chars"
     flat = F.translate(F.coalesce(text, F.lit("")), UPPER + SPACES, LOWER + " " * len(SPACES))
     empty = F.array().cast("array<bigint>")
-    df = df.select(*columns, F.when(flat == "", empty).otherwise(F.transform(F.split(flat, ""), lambda c: (F.ascii(c) + 1).cast("long"))).alias(chars))
-    df, hashed = _doubled(df, chars, k, lambda width: f"(a * {pow(BASE, width, PRIME)}L + b) % {PRIME}L")
-    short = F.expr(f"array(aggregate(`{chars}`, 0L, (h, c) -> (h * {BASE}L + c) % {PRIME}L))")
-    whole = F.when(F.size(chars) >= k, F.col(hashed)).when(F.size(chars) > 0, short).otherwise(empty)
-    df = df.select(*columns, whole.alias(grams)).withColumn(grams, F.expr(f"transform(`{grams}`, (h, i) -> shiftleft(h, {PLACE}) | ({LAST}L - i))"))
+    df = df.select(*columns, F.when(flat == "", empty).otherwise(F.transform(F.split(flat, ""), lambda c: F.xxhash64(c))).alias(chars))
+    df, hashed = _doubled(df, chars, k, lambda width: f"shiftleft(a, {width}) ^ b")
+    grams = f"__{out}_grams"
+    df = df.withColumn(grams, F.expr(f"transform(`{hashed}`, (h, i) -> (h & {HASH}L) | ({LAST}L - i))"))
     df, least = _doubled(df, grams, w, lambda width: "least(a, b)")
-    chosen = F.when(F.size(grams) >= w, F.array_distinct(least)).when(F.size(grams) > 0, F.array(F.array_min(grams))).otherwise(empty)
+    n = F.size(chars)
+    short = F.expr(f"array((aggregate(`{chars}`, 0L, (h, c) -> shiftleft(h, 1) ^ c) & {HASH}L) | {LAST}L)")
+    windows = F.array_distinct(F.slice(F.col(least), F.lit(1), n - (k + w - 2)))
+    chosen = F.when(n == 0, empty).when(n < k, short).when(n < k + w - 1, F.array(F.array_min(grams))).otherwise(windows)
     return df.select(*columns, chosen.alias(out))
 
 

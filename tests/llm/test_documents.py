@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -283,17 +284,17 @@ def test_contamination_in_blocks_and_of_nothing(frame, monkeypatch):
 
 def brute_winnow(text, k=8, w=8):
     """(hash, position) of the chosen k-grams, by a hash that rolls along the text and by looking at every window."""
-    prime, base = (1 << 31) - 1, 1_000_003
-    flat = [ord(c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r\x85\xa0" else c) + 1 for c in text or ""]
+    flat = [c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r\x85\xa0" else c for c in text or ""]
+    own = {c: xxhash.xxh64_intdigest(c.encode(), seed=42) for c in set(flat)}
     if not flat:
         return []
-    h = 0
+    whole, h = (1 << 64) - 1, 0
     for c in flat[:k]:
-        h = (h * base + c) % prime
-    rolled = [h]
+        h = (h << 1 ^ own[c]) & whole
+    rolled = [h >> 32 & (1 << 31) - 1]
     for i in range(k, len(flat)):
-        h = ((h - flat[i - k] * pow(base, k - 1, prime)) * base + flat[i]) % prime
-        rolled.append(h)
+        h = (h << 1 ^ own[flat[i - k]] << k ^ own[flat[i]]) & whole
+        rolled.append(h >> 32 & (1 << 31) - 1)
     windows = [range(s, min(s + w, len(rolled))) for s in range(max(1, len(rolled) - w + 1))]
     return [(rolled[i], i) for i in sorted({min(v, key=lambda j: (rolled[j], -j)) for v in windows})]
 
