@@ -39,12 +39,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _written[-1]
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes all that this process wrote to the shared folder. Results that weren't saved can't be read
-    any more."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def mark() -> int:
+    """How many tables and folders this process has written to the shared folder."""
+    return len(_written)
+
+
+def clean(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes what this process wrote to the shared folder since a mark, the last of it left out if it is still
+    wanted. Results that read from what is deleted, and weren't saved, can't be read any more."""
+    kept = _written[len(_written) - keep_last :] if len(_written) > since else []
+    for at in _written[since : len(_written) - len(kept)]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since:] = kept
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -115,8 +122,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-#: A filter of ids has at most so many bits (4 MB), whatever the number of ids.
-FILTER_BITS = 1 << 25
+#: A filter of ids has at most so many bits (32 MB), whatever the number of ids; beyond some 50 million ids more and
+#: more rows pass that aren't meant, and are shuffled to be judged.
+FILTER_BITS = 1 << 28
 _HASHED = ["__quarrykit_hash_0", "__quarrykit_hash_1"]
 
 

@@ -18,10 +18,13 @@ OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 def conversations_of(turns: DataFrame) -> DataFrame:
     """(conv_id, turns): each conversation's turns in order, of (role, text). Null roles are 'user', null
-    texts empty; turns of equal number are ordered by role and text, and equal rows count once."""
-    each = turns.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = each.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    return grouped.select("conv_id", F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
+    texts empty; turns of equal number are ordered by role and text, null numbers first, and equal rows count once.
+    A turn without conv_id is a conversation of its own, so that no group holds them all. A conversation of any length
+    is one row, as what is made of it is."""
+    each = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    grouped = each.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
+    single = each.where("conv_id is null").select("conv_id", F.array("t").alias("turns"))
+    return grouped.unionByName(single).select("conv_id", F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
 
 
 def _render(turns: Column) -> Column:
@@ -45,7 +48,8 @@ def _spans(turns: Column) -> Column:
 
 def preference_format(pairs: DataFrame) -> DataFrame:
     """pairs: any columns with ``chosen`` and ``rejected``, arrays of (role, text). Adds shared_turns, prompt,
-    chosen_completion, rejected_completion and their spans, in place of the two.
+    chosen_completion, rejected_completion and their spans, in place of the two. Other columns stay, and repeated pairs
+    get a row each.
 
     The prefix may be empty, and may be all of either conversation, whose completion is then empty."""
     rest = [c for c in pairs.columns if c not in ("chosen", "rejected")]
@@ -87,7 +91,7 @@ def pair_up(conversations: DataFrame) -> DataFrame:
     near = dealt.select("part", "opening", "conv_id", "turns", F.lead(F.struct("opening", "conv_id", "turns")).over(order).alias("next"))
     firsts = dealt.groupBy("part").agg(F.min(F.struct("opening", "conv_id", "turns")).alias("head"))
     heads = firsts.select(F.lag("part").over(Window.orderBy("part")).alias("part"), "head")  # one row for each range
-    joined = near.join(F.broadcast(heads.where("part is not null")), "part", "left").select("opening", "conv_id", "turns", F.coalesce("next", "head").alias("next"))
+    joined = near.join(heads.where("part is not null"), "part", "left").select("opening", "conv_id", "turns", F.coalesce("next", "head").alias("next"))
     told = lambda turns: F.aggregate(turns, F.lit(0), lambda n, t: n + F.when(t.role == "assistant", F.length(t.text)).otherwise(0))
     paired = joined.select("conv_id", "turns", F.when((F.col("next.opening") == F.col("opening")) & (F.expr("next.turns[0]") == F.expr("turns[0]")), F.col("next")).alias("next"))
     paired = paired.withColumn("first", F.col("next").isNull() | (told(F.col("turns")) >= told(F.col("next.turns"))))
@@ -104,6 +108,7 @@ def pair_up(conversations: DataFrame) -> DataFrame:
 def preferences(turns: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, shared_turns, prompt, completions and spans, one row for each conversation.
 
-    Rows without conv_id are one conversation; see conversations_of for other nulls. Empty tables give no
-    rows. rejected_id is null where a conversation has no partner."""
+    A row without conv_id is a conversation of its own; see conversations_of for other nulls, ties and repeated rows.
+    Conversations of any length are rendered whole. Other columns are ignored, whatever their names. Empty tables
+    give no rows. rejected_id is null where a conversation has no partner."""
     return preference_format(pair_up(conversations_of(turns)))

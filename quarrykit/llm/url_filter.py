@@ -18,7 +18,7 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path) of a rule: it fits the host and its subdomains where the path starts so.
 Rule = tuple[str, str]
-#: Suffixes whose own statistics are features; the others share one.
+#: So many suffixes, the most frequent ones, have statistics of their own as features; all others are pooled in one.
 SUFFIXES = 256
 BINS = 32
 
@@ -50,7 +50,7 @@ def lexical_features() -> dict[str, Column]:
     url = F.coalesce("url", F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
     bin_ = lambda c: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    # Shannon entropy of the first 512 characters' distribution would cost more for longer ones; all count here
+    # Shannon entropy of the distribution of all the url's characters
     parts = F.array_distinct(F.split(url, ""))
     entropy = F.aggregate(parts, F.lit(0.0), lambda acc, c: acc - F.when(c == "", 0.0).otherwise(_count(url, c) / size * F.log2(F.greatest(_count(url, c), F.lit(1)) / size)))
     return {
@@ -71,11 +71,11 @@ def suffix_of() -> Column:
 class Trees:
     """A sum of trees over binned features, and the suffixes' statistics that two features look up."""
 
-    def __init__(self, suffixes: dict[str, tuple[int, int]], bias: float):
-        self.suffixes, self.bias, self.trees = suffixes, bias, []
+    def __init__(self, suffixes: dict[str, tuple[int, int]], rest: tuple[int, int], bias: float):
+        self.suffixes, self.rest, self.bias, self.trees = suffixes, rest, bias, []
 
     def suffix_features(self) -> dict[str, Column]:
-        rate, seen = F.lit(BINS // 2), F.lit(0)
+        rate, seen = F.lit(self.rest[0]), F.lit(self.rest[1])
         if self.suffixes:
             pairs = sorted(self.suffixes.items())
             rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in pairs for x in (k, v[0])]), suffix_of()), rate)
@@ -100,9 +100,14 @@ class Trees:
 
 
 def train(labelled: DataFrame, rounds: int = 8, depth: int = 2, rate: float = 0.5, smooth: float = 1.0) -> Trees:
-    """labelled: url, host, path, blocked (boolean). All rows count; with none, everything is allowed."""
+    """labelled: url, host, path, blocked (boolean). All rows count; with none, everything is allowed. Of splits of
+    equal gain the first feature's, at the smallest bin, is taken; of suffixes of equal count the first by name.
+
+    Statistics of the SUFFIXES most frequent suffixes, and of all others together, are features."""
     top = labelled.groupBy(suffix_of().alias("suffix")).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("bad")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    model = Trees({r.suffix: (int((r.bad + 0.5) / (r.n + 1) * (BINS - 1)), min(BINS - 1, int(math.log2(r.n + 1)))) for r in top}, 0.0)
+    told = lambda n, bad: (int((bad + 0.5) / (n + 1) * (BINS - 1)), min(BINS - 1, int(math.log2(n + 1))))
+    every = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("bad")).first()
+    model = Trees({r.suffix: told(r.n, r.bad) for r in top}, told(every.n - sum(r.n for r in top), every.bad - sum(r.bad for r in top)), 0.0)
     names = [*lexical_features(), *model.suffix_features()]
     cells = materialize(
         labelled.withColumns(lexical_features() | model.suffix_features()).groupBy(*names).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("bad")), "cells"
@@ -140,8 +145,9 @@ def train(labelled: DataFrame, rounds: int = 8, depth: int = 2, rate: float = 0.
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule, verdict of every row: the longest fitting rule's verdict, else the trees'.
 
-    A null url, or one without ://, has an empty host and path, and no rule. Repeated rows get a row each;
-    other columns are ignored. An empty table gives no rows."""
+    A null url, or one without ://, has an empty host and path, and no rule. All of a url counts, however long; of
+    rules of equal length the first wins. A margin of 0 allows. Repeated rows get a row each; other columns are
+    ignored, whatever their names. An empty table gives no rows."""
     parts = pages.select("page_id", "url").withColumns({"host": host_of("url"), "path": path_of("url")}).withColumn("rule", matching_rule(rules))
     says = F.create_map(*[F.lit(x) for verdict, rule in rules for x in (rule, verdict)])
     model = train(parts.where("rule is not null").select("url", "host", "path", (F.element_at(says, F.col("rule")) == "block").alias("blocked")))

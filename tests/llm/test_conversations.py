@@ -64,9 +64,10 @@ def test_conversations_that_open_alike_are_paired(frame):
 
 
 def test_odd_turns(frame):
-    rows = [(1, 1, "assistant", None), (1, 0, None, "hi"), (1, None, "system", "first"), (None, 0, "user", "nobody"), (2, 0, "user", "x" * 100_000)]
+    rows = [(1, 1, "assistant", None), (1, 0, None, "hi"), (1, None, "system", "first"), (None, 0, "user", "nobody"), (None, 0, "user", "nobody else"), (2, 0, "user", "x" * 100_000)]
     got = {r.chosen_id: r for r in preference.preferences(frame(TURNS, rows)).collect()}
     assert got[1].prompt == render([("system", "first"), ("user", "hi")]) and got[1].chosen_completion == render([("assistant", "")])
+    assert sum(r.chosen_id is None for r in preference.preferences(frame(TURNS, rows)).collect()) == 2
     assert set(got) == {1, 2, None} and len(got[2].prompt) > 100_000
     assert preference.preferences(frame(TURNS, [])).collect() == []
 
