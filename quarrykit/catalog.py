@@ -166,6 +166,7 @@ over("win_rank", "orders", "SELECT o_orderkey, row_number() OVER w AS rn, rank()
 over("win_lag", "orders", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, lead(o_totalprice, 2, 0.0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM bundle")
 over("win_rows", "orders", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS near FROM bundle")
 over("win_range", "events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM bundle")
+over("win_groups", "orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n, min(o_orderkey) OVER (ORDER BY o_custkey DESC GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS low, max(o_orderkey) OVER w AS high FROM bundle o WHERE o.o_totalprice > 1000 WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS UNBOUNDED PRECEDING)")
 over("win_ntile", "orders", "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS quarter FROM bundle", "SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS INT) AS quarter FROM orders")
 over("win_first_last", "events", "SELECT event_id, first_value(event_type) OVER w AS first_type, last_value(event_type) OVER w AS last_type, nth_value(event_type, 2) OVER w AS second_type FROM bundle WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 over("win_qualify", "orders", "SELECT o_custkey, o_orderkey FROM bundle QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")

@@ -222,8 +222,6 @@ def _spellings(tokens: list[Token]) -> list[Token]:
                 i = after
             i += 1
             continue
-        if t.upper == "GROUPS" and after < len(tokens) and tokens[after].upper in ("BETWEEN", "UNBOUNDED", "CURRENT"):
-            raise SqlError("GROUPS frames are not supported: rank the peers with dense_rank() and use a RANGE frame over the ranks")
         if t.kind == "word" and t.text in ("blocks", "packs", "public", "temp") and after < len(tokens) and tokens[after].text == ".":
             name = _next(tokens, after + 1)
             if tokens[name].text.startswith(("__block_", "__pack_")) or tokens[name].text == "bundle":
@@ -278,9 +276,63 @@ def _distinct_on(tokens: list[Token], depth: list[int]) -> list[Token]:
     return tokens
 
 
+AFTER_FROM = {"GROUP", "HAVING", "WINDOW", "QUALIFY", "ORDER", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT"}
+
+
+def _groups(tokens: list[Token]) -> list[Token]:
+    """A GROUPS frame as a RANGE frame over the peers' ranks, which a subquery in place of the source adds; at any
+    depth, in queries over one source without GROUP BY."""
+    i = 0
+    while i < len(tokens):
+        if tokens[i].text == "(" and tokens[i].kind == "op":
+            end = _close(tokens, i)
+            inner = _groups(tokens[i + 1 : end])
+            tokens = [*tokens[: i + 1], *inner, *tokens[end:]]
+            i += len(inner) + 1
+        i += 1
+    depth = _depths(tokens)
+
+    def framed(i: int) -> bool:
+        after = _next(tokens, i + 1)
+        return tokens[i].upper == "GROUPS" and depth[i] == 1 and after < len(tokens) and (tokens[after].kind == "number" or tokens[after].upper in ("BETWEEN", "UNBOUNDED", "CURRENT"))
+
+    frames = [i for i in range(len(tokens)) if framed(i)]
+    if not frames:
+        return tokens
+    start = max((i for i in range(frames[0]) if depth[i] == 0 and tokens[i].upper == "SELECT"), default=-1)
+    source = _clause(tokens, depth, "FROM", max(start, 0))
+    if start < 0 or source < 0:
+        raise SqlError("a GROUPS frame needs a SELECT with a FROM")
+    end = next((i for i in range(source, len(tokens)) if depth[i] == 0 and tokens[i].upper in AFTER_FROM), len(tokens))
+    rest = next((i for i in range(end, len(tokens)) if depth[i] == 0 and tokens[i].upper in ("UNION", "INTERSECT", "EXCEPT")), len(tokens))
+    where = _clause(tokens, depth, "WHERE", source)
+    named = significant(tokens[source + 1 : where if 0 <= where < end else end])
+    words = {t.upper for t, d in zip(tokens[start:rest], depth[start:rest], strict=True) if d == 0}
+    if words & {"GROUP", "HAVING", "JOIN", "DISTINCT"} or any(t.text == "," for t in named[_close(named, 0) if named[0].text == "(" else 0 :]):
+        raise SqlError("a GROUPS frame is only supported over one source, without GROUP BY and DISTINCT: put the rest in a subquery")
+    alias = named[-1].text if named[-1].kind in ("word", "name") else "__source"
+    own = [i for i in frames if start < i < rest]
+    ranks, out, at = [], [], start
+    for k, i in enumerate(own):
+        open_ = max(j for j in range(i) if depth[j] == 0 and tokens[j].text == "(")
+        order = next((j for j in range(open_, i) if depth[j] == 1 and tokens[j].upper == "ORDER"), None)
+        if order is None:
+            raise SqlError("a GROUPS frame needs an ORDER BY")
+        ranks.append(f"dense_rank() OVER ({render(tokens[open_ + 1 : i])}) AS __peers_{k}")
+        out += [*tokens[at:order], Token("word", f"ORDER BY __peers_{k} RANGE")]
+        at = i + 1
+    body = [*out, *tokens[at:rest]]
+    level = _depths(body)
+    source = _clause(body, level, "FROM")
+    last = next((i for i in range(source, len(body)) if level[i] == 0 and body[i].upper in AFTER_FROM), len(body))
+    listed = [Token("word", f"* EXCEPT ({', '.join(f'__peers_{k}' for k in range(len(own)))})") if t.text == "*" and d == 0 and not significant(body[:j])[-1].kind == "number" and significant(body[:j])[-1].upper in ("SELECT", ",") else t for j, (t, d) in enumerate(zip(body[:source], level[:source], strict=True))]
+    text = f"{render(listed).rstrip()} FROM (SELECT *, {', '.join(ranks)} {render(body[source:last]).rstrip()}) {alias} {render(body[last:])}"
+    return [*tokens[:start], *tokenize(text), *_groups(tokens[rest:])]
+
+
 def translate(sql: str) -> str:
     """The text that Spark's parser gets."""
-    return render(_qualify(_order_items(_spellings(tokenize(sql)))))
+    return render(_qualify(_groups(_order_items(_spellings(tokenize(sql))))))
 
 
 def union_by_name(sql: str) -> list[tuple[str, bool]] | None:

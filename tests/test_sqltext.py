@@ -50,8 +50,9 @@ def test_spellings(given, want):
 
 
 def test_groups_frames_are_refused():
-    with pytest.raises(SqlError, match="GROUPS"):
-        translate("SELECT sum(a) OVER (ORDER BY b GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t")
+    for sql in ("SELECT sum(a) OVER (ORDER BY b GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t JOIN u USING (b)", "SELECT sum(a) OVER (GROUPS CURRENT ROW) FROM t"):
+        with pytest.raises(SqlError, match="GROUPS"):
+            translate(sql)
 
 
 def test_union_by_name_parts():
