@@ -192,7 +192,7 @@ def test_urls(frame):
     rng = random.Random(2)
     hosts = ["example.com", "www.EXAMPLE.com", "example.net", "a.b.example.net", "x.org", "com", "notexample.com", "ÄX.de", "example.com:80", ""]
     paths = ["", "/", "/en/", "/en/7", "/en/71?x=1", "/de/8#a", "/de/9", "/es/1?u=http://a.com/en/", "?q=/en/", "#/en/", "/en"]
-    urls = [f"{rng.choice(['http', 'https', 'x'])}://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "://", "a://b://c/en/", "http://com/en/\nx"]
+    urls = [f"{rng.choice(['http', 'https', 'x'])}://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "://", "a://b://c/en/", "http://com/en/\nx", "http://example.com/en/7" + "é?" * 50_000, "http://h.org/" + "9" * 100_000, "x" * 100_000]
     rows = [(i, u, None) for i, u in enumerate(urls)] + [(None, urls[3], None), (3, urls[3], None)]
     got = url_filter.judge(frame(PAGES, rows), RULES).collect()
     says = {r: v for v, r in RULES}
@@ -219,6 +219,28 @@ def test_trees_learn(spark):
     assert len(model.trees) == 8 and right >= 940
 
 
+def test_ties_of_gain_are_settled(spark):
+    """Two features that part the labels equally well: the same trees whatever the order and the deal of the rows."""
+    rows = [(f"http://h{'-' * (i % 2)}.com/{'a' * 5 if i % 2 else 'a/bb'}", bool(i % 2)) for i in range(40)]
+    found = []
+    for seed in range(3):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        df = spark.createDataFrame(mixed, "url string, blocked boolean").repartition(seed + 1).withColumns({"host": url_filter.host_of("url"), "path": url_filter.path_of("url")})
+        model = url_filter.train(df)
+        found.append([t["splits"] for t in model.trees])
+    assert found[0] == found[1] == found[2] and found[0][0]
+
+
+def test_rare_suffixes_are_pooled(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SUFFIXES", 1)
+    rows = [(f"http://a.com/{i}", False) for i in range(30)] + [(f"http://a.bad{i}/", True) for i in range(20)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean").withColumns({"host": url_filter.host_of("url"), "path": url_filter.path_of("url")})
+    model = url_filter.train(df)
+    assert set(model.suffixes) == {"com"} and model.rest[0] > model.suffixes["com"][0]
+    told = df.withColumns(url_filter.lexical_features() | model.suffix_features())
+    assert told.where((model.margin() > 0) != told.blocked).count() == 0
+
+
 def test_filter_stays_in_the_jvm(spark, sf):
     plan = url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"), RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
