@@ -17,7 +17,8 @@ OTHER = re.compile(r"[\W\d_]+")
 ORDERS, BUCKETS = 3, 1 << 15
 #: The classifier is fitted on about so many labelled documents at most, chosen by a hash of doc_id.
 MOST_LABELLED = 50_000
-#: Code points that are worked on at once, about, and rows whose texts are in memory for it.
+#: Code points that are worked on at once, about (fewer where there are very many languages), and rows whose texts
+#: are in memory for it.
 CHUNK, SLICE = 1 << 18, 256
 
 
@@ -48,8 +49,8 @@ def grams(points: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
         yield np.where(left[:size] >= n, (h & np.uint32(BUCKETS - 1)).astype(np.intp) + (n - 1) * BUCKETS, NONE)
 
 
-def batched(texts: Iterator[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list[int]]]:
-    """Texts with a letter, joined to arrays of about CHUNK code points: (their numbers, points, how many are left
+def batched(texts: Iterator[str | None], chunk: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list[int]]]:
+    """Texts with a letter, joined to arrays of about ``chunk`` code points: (their numbers, points, how many are left
     of the text from each on, where each text begins). A longer text comes in several parts, each with the points
     that its last grams reach into."""
     numbers, parts, tails, size = [], [], [], 0
@@ -68,13 +69,13 @@ def batched(texts: Iterator[str | None]) -> Iterator[tuple[list[int], np.ndarray
         if not has_letter(text):
             continue
         points = letters(text)
-        for at in range(0, len(points), CHUNK):
-            part = points[at : at + CHUNK + ORDERS - 1]
+        for at in range(0, len(points), chunk):
+            part = points[at : at + chunk + ORDERS - 1]
             numbers.append(number)
             parts.append(part)
-            tails.append(max(0, len(part) - CHUNK))
+            tails.append(max(0, len(part) - chunk))
             size += len(part)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield out()
                 numbers, parts, tails, size = [], [], [], 0
     if numbers:
@@ -106,7 +107,7 @@ def predict(parts: tuple[list[str], np.ndarray, np.ndarray], texts: list[str | N
     if not langs:
         return out, sure
     scores: dict[int, np.ndarray] = {}
-    for numbers, points, left, starts in batched(texts):
+    for numbers, points, left, starts in batched(texts, max(1, min(CHUNK, 16 * CHUNK // len(langs)))):
         total = np.zeros((len(numbers), len(langs)))
         for h in grams(points, left):
             weights = table[h]
@@ -137,7 +138,7 @@ def train(documents: DataFrame, most: int = MOST_LABELLED) -> Model:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, counted = batch.column("lang").to_pylist(), set()
-            for numbers, points, left, starts in batched(t.as_py() for t in batch.column("text")):
+            for numbers, points, left, starts in batched((t.as_py() for t in batch.column("text")), CHUNK):
                 names = sorted({langs[i] for i in numbers})
                 place = {x: i for i, x in enumerate(names)}
                 sums = np.zeros((len(names), NONE + 1), np.int64)

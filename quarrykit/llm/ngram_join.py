@@ -231,7 +231,7 @@ SKETCH = "doc_id long, n_shingles long, digest long, need0 int, need1 int, sigs
 
 def _sketches(k: int, scheme: PartEnum):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, dict[int, int]] = {}
         for batch in batches:
             ids, texts = batch.column("doc_id"), _texts(batch)
             at = 0
@@ -243,12 +243,14 @@ def _sketches(k: int, scheme: PartEnum):
                     elements = shingle_set(text, k)
                     key = digest(elements)
                     at += 1
-                    if key in seen or not len(elements):  # copies sign once
-                        sig, needs = np.zeros(0, U), scheme.signatures(elements)[1] if len(elements) else {}
+                    if not len(elements):
+                        sig, needs = np.zeros(0, U), {}
+                    elif key in seen:  # copies sign once
+                        sig, needs = np.zeros(0, U), seen[key]
                     else:
-                        if len(seen) < 1_000_000:
-                            seen.add(key)
                         sig, needs = scheme.signatures(elements)
+                        if len(seen) < 200_000:
+                            seen[key] = needs
                     rows.append((len(elements), key, needs.get(0), needs.get(1)))
                     sigs.append(sig)
                 n, key, even, odd = zip(*rows, strict=True)
