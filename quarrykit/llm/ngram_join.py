@@ -382,7 +382,7 @@ def _verify(num: int, den: int):
 SMALL_GROUP = 32
 #: A cluster is cut into blocks of FINE elements as long as that makes at most MANY of them, so that tasks
 #: share its work; larger clusters have larger blocks, of BLOCK elements at most: two fit in memory.
-FINE, MANY, BLOCK = 50_000, 16, 1_000_000
+FINE, MANY, BLOCK = 50_000, 8, 1_000_000
 
 
 def grouped(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -465,23 +465,36 @@ def keep_one(documents: DataFrame, k: int = 5, **how) -> DataFrame:
     one doc_id and different texts each is judged by its own text. Null and blank texts have no copies: all stay.
     Columns may have any names; an empty table gives no rows.
 
-    Only rows whose doc_id may be concerned, by a Bloom filter, are hashed again and shuffled."""
-    rows = grouped(documents, k=k, **how).where("n_shingles > 0").select("doc_id", "digest", "root")
-    classes = materialize(rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies")), "groups")
+    Two Bloom filters spare most rows a shuffle: one of the doc_ids of rows that go or repeat, and one of those that pass
+    the first though a row of theirs stays. Rows that the first doesn't pass stay where they are, rows that only the
+    first passes go, and the few that both pass, and those without doc_id, are hashed again and judged exactly."""
+    rows = materialize(grouped(documents, k=k, **how).select("doc_id", "digest", "root", "n_shingles"), "rows")
+    classes = materialize(rows.where("n_shingles > 0").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies")), "groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("best")
     judged = classes.join(classes.groupBy("root").agg(best, F.count("*").alias("members")), "root").where("members > 1 or copies > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
     judged = materialize(judged.where(~stays | (F.col("copies") > 1)).select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__of"), stays.alias("__stays")), "copies")
     columns, spark = documents.columns, documents.sparkSession
-    held = spark.sparkContext.broadcast(id_filter(judged.select("__doc_id").where("__doc_id is not null")))
+    concerned = spark.sparkContext.broadcast(id_filter(judged.select("__doc_id").where("__doc_id is not null")))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(batch, concerned.value))).select(["doc_id"])
+
+    going = judged.where("not __stays").select(F.col("__doc_id").alias("doc_id"), F.col("__of").alias("digest"))
+    left = rows.where("doc_id is not null").select("doc_id", "digest").join(going, ["doc_id", "digest"], "left_anti").select("doc_id")
+    unsure = materialize(with_hashes(left, "doc_id").mapInArrow(passing, "doc_id long").distinct(), "unsure")
+    doubtful = spark.sparkContext.broadcast(id_filter(unsure))
     digested = T.StructType([*documents.schema, T.StructField("__digest", T.LongType())])
 
-    def run(wanted: bool):
+    def run(asked: bool):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 64):
-                hit = maybe_in(batch, held.value) | np.asarray(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
-                rows = batch.filter(pa.array(hit == wanted)).select(columns)
-                if rows.num_rows and wanted:
+                hit = maybe_in(batch, concerned.value)
+                nameless = np.asarray(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False))
+                wanted = nameless | (hit & maybe_in(batch, doubtful.value)) if asked else ~(nameless | hit)
+                rows = batch.filter(pa.array(wanted)).select(columns)
+                if rows.num_rows and asked:
                     own = pa.array([digest(shingle_set(text.as_py(), k)) for text in _texts(rows)], pa.int64())
                     rows = pa.RecordBatch.from_arrays([*rows.columns, own], [*columns, "__digest"])
                 if rows.num_rows:
