@@ -22,7 +22,9 @@ blocks. Only links that the exact test confirms are kept, as stars.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, id_filter, materialize, maybe_in, partitions, sliced, with_hashes
+from .common import clean, connected_components, filesystem, fresh_path, id_filter, mark, materialize, maybe_in, partitions, release, sliced, with_hashes
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -350,30 +352,87 @@ def links_of(sets: list[np.ndarray], weights: list[int], sides: list[int], acros
     return [find(i) for i in range(n)], total
 
 
-def _verify(num: int, den: int):
-    schema = pa.schema([("digest", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+def _judged(rows: dict[int, tuple], across: bool, num: int, den: int) -> tuple[list, list, list]:
+    """digest, root and links of those sets that have links. rows: (elements, copies, side) by digest."""
+    keys = list(rows)
+    roots, totals = links_of(*([r[i] for r in rows.values()] for i in range(3)), across, num, den)
+    some = [i for i, total in enumerate(totals) if total]
+    return [keys[i] for i in some], [keys[roots[i]] for i in some], [totals[i] for i in some]
 
-    def judged(unit: tuple, rows: dict[int, tuple]) -> pa.RecordBatch:
-        keys = list(rows)
-        roots, totals = links_of([r[0] for r in rows.values()], [r[1] for r in rows.values()], [r[2] for r in rows.values()], unit[1] != unit[2], num, den)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([keys[r] for r in roots], pa.int64()), pa.array(totals, pa.int64())], schema=schema)
+
+def _packed(rows: dict[int, tuple]) -> bytes:
+    sizes = [len(r[0]) for r in rows.values()]
+    head = np.array([len(rows), *rows, *(r[1] for r in rows.values()), *sizes], np.int64)
+    return b"".join([head.tobytes(), *(r[0].tobytes() for r in rows.values())])
+
+
+def _unpacked(data: bytes, side: int) -> dict[int, tuple]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    keys, copies, sizes = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+    sets = np.split(np.frombuffer(data, U, -1, 8 + 24 * n), np.cumsum(sizes)[:-1])
+    return {int(key): (own, int(c), side) for key, own, c in zip(keys, sets, copies, strict=True)}
+
+
+WITHIN = "digest long, root long, links long, cluster long, block int, file string, start long, size long"
+
+
+def _within(num: int, den: int, folder: str):
+    """Of rows sorted by cluster and block: the links inside each block, and where the blocks lie that are to be compared
+    with others. Those are written, all of a task to one file, so that each set is sent and kept once, however many blocks
+    its cluster has."""
+    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in (x.split() for x in WITHIN.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file, at = f"{folder}/{uuid.uuid4().hex}", None, 0
+        unit, rows = None, {}
+
+        def judged() -> pa.RecordBatch:
+            nonlocal file, at
+            cluster, block, blocks = unit
+            out = [[*x, None] for x in _judged(rows, False, num, den)]
+            n = len(out[0])
+            place = [None] * 5
+            if blocks > 1:
+                if file is None:
+                    fs, path = filesystem(name)
+                    fs.create_dir(path.rpartition("/")[0], recursive=True)
+                    file = fs.open_output_stream(path)
+                data = _packed(rows)
+                file.write(data)
+                place = [cluster, block, name, at, len(data)]
+                at += len(data)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out + [[None] * (n - 1) + [x] for x in place], schema, strict=True)], schema=schema)
+
+        try:
+            for batch in batches:
+                cols = [batch.column(c).to_pylist() for c in ("cluster", "block", "blocks", "digest", "copies")]
+                for data, cluster, block, blocks, key, copies in zip(batch.column("elements"), *cols, strict=True):
+                    if (cluster, block, blocks) != unit:
+                        if rows:
+                            yield judged()
+                        unit, rows = (cluster, block, blocks), {}
+                    rows[key] = (np.frombuffer(data.as_py(), U), copies, 0)
+            if rows:
+                yield judged()
+        finally:
+            if file is not None:
+                file.close()
+
+    return run
+
+
+def _across(num: int, den: int):
+    """The links between the sets of two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows, out = None, {}, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "b0", "b1", "digest", "copies", "block")]
-            for data, cluster, b0, b1, key, copies, block in zip(batch.column("elements"), *cols, strict=True):
-                if (cluster, b0, b1) != unit:
-                    if rows:
-                        out.append(judged(unit, rows))
-                    unit, rows = (cluster, b0, b1), {}
-                rows[key] = (np.frombuffer(data.as_py(), U), copies, block)
-            if len(out) > 100:
-                yield from out
-                out = []
-        if rows:
-            out.append(judged(unit, rows))
-        yield from out
+            for unit in batch.to_pylist():
+                rows = {}
+                for side in (0, 1):
+                    fs, path = filesystem(unit[f"file{side}"])
+                    with fs.open_input_file(path) as f:
+                        rows |= _unpacked(f.read_at(unit[f"size{side}"], unit[f"start{side}"]), side)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _judged(rows, True, num, den)], ["digest", "root", "links"])
 
     return run
 
@@ -383,6 +442,8 @@ SMALL_GROUP = 32
 #: A cluster is cut into blocks of FINE elements as long as that makes at most MANY of them, so that tasks
 #: share its work; larger clusters have larger blocks, of BLOCK elements at most: two fit in memory.
 FINE, MANY, BLOCK = 50_000, 8, 1_000_000
+#: Signatures meet in so many turns, each of its share of them: only that share is shuffled at once.
+TURNS = 2
 
 
 def grouped(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -392,10 +453,15 @@ def grouped(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     docs, scheme = documents.select("doc_id", "text"), PartEnum(num, den)
     width = partitions(spark)
     sketches = materialize(docs.mapInArrow(_sketches(k, scheme), SKETCH), "sketches")
-    each = sketches.select("doc_id", "n_shingles", "digest", "need0", "need1")
-    signed = sketches.select("digest", F.explode("sigs").alias("sig"))
-    met = signed.repartition(width, "sig").sortWithinPartitions("sig").mapInArrow(_met, "sig long, digest long")
-    shared = materialize(met.unionByName(sketches.select("digest", F.explode("known").alias("sig"))).distinct(), "signatures")
+    each = materialize(sketches.select("doc_id", "n_shingles", "digest", "need0", "need1"), "sets")
+    turns = []
+    for turn in range(TURNS):
+        signed, known = (sketches.select("digest", F.explode(c).alias("sig")).where(f"pmod(shiftright(sig, 1), {TURNS}) = {turn}") for c in ("sigs", "known"))
+        met = signed.repartition(width, "sig").sortWithinPartitions("sig").mapInArrow(_met, "sig long, digest long")
+        turns.append(materialize(met.unionByName(known).distinct(), "signatures"))
+        release(spark)
+    release(spark, sketches)
+    shared = functools.reduce(DataFrame.unionByName, turns)
     classes = materialize(
         each.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("need0").alias("need0"), F.max("need1").alias("need1")),
         "classes",
@@ -406,6 +472,7 @@ def grouped(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     # sums by signature, and a join that Spark may split where very many sets share one
     groups = sharing.groupBy("sig").agg(F.min("digest").alias("low"), F.count("*").alias("size")).where("size > 1")
     kept = materialize(sharing.join(groups, "sig").select("sig", "odd", "digest", "need", "low", "size"), "candidates")
+    release(spark, sharing, *turns)
     # a similar pair shares need signatures: all in small groups, whose pairs are counted, or one in a large group
     few = kept.where(f"size <= {SMALL_GROUP}").groupBy("sig", "odd").agg(F.sort_array(F.collect_list(F.struct("digest", "need"))).alias("own"))
     pairs = few.select("odd", F.explode(F.expr("flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> struct(x.digest AS a, y.digest AS b, greatest(x.need, y.need) AS need))))")).alias("p"))
@@ -415,21 +482,24 @@ def grouped(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     inside = clusters.withColumnsRenamed({"id": "digest", "root": "cluster"}).join(classes, "digest")
     blocks = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.least(F.ceil(F.sum("n") / FINE), F.lit(MANY))).cast("int").alias("blocks"))
     inside = materialize(inside.join(blocks, "cluster").select("digest", "cluster", "rep", "copies", "blocks", F.expr("cast(pmod(xxhash64(digest), blocks) as int)").alias("block")), "clusters")
+    release(spark, kept)
 
-    # texts outside all clusters are left out before they are hashed a second time; each set is made once and sent to
-    # the units that it is compared in
+    # texts outside all clusters are left out before they are hashed a second time; each set is made once, sent to its
+    # block once, and read from the block's file by the units that compare two blocks
     held = spark.sparkContext.broadcast(id_filter(inside.select("rep").where("rep is not null")))
     made = with_hashes(docs, "doc_id").mapInArrow(_elements(k, held), "doc_id long, digest long, elements binary").withColumnsRenamed({"digest": "own"})
     named = made.where("doc_id is not null").join(inside.where("rep is not null").hint("merge"), F.expr("doc_id = rep and own = digest")).drop("own", "doc_id")
     nameless = made.where("doc_id is null").drop("doc_id").join(inside.where("rep is null"), F.expr("own = digest")).drop("own").dropDuplicates(["digest"])
-    units = (
-        named.unionByName(nameless)
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("cluster", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "digest", "copies", "block", "elements")
-    )
-    judged = materialize(
-        units.repartition(width, "cluster", "b0", "b1").sortWithinPartitions("cluster", "b0", "b1").mapInArrow(_verify(num, den), "digest long, root long, links long"), "judged"
-    )
+    folder = fresh_path(spark, "blocks")
+    sets = named.unionByName(nameless).select("cluster", "block", "blocks", "digest", "copies", "elements")
+    within = materialize(sets.repartition(width, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, folder), WITHIN), "within")
+    release(spark)
+    placed = within.where("file is not null").select("cluster", "block", "file", "start", "size")
+    one, two = (placed.withColumnsRenamed({c: f"{c}{side}" for c in ("block", "file", "start", "size")}) for side in (0, 1))
+    units = one.join(two, "cluster").where("block0 < block1")
+    across = materialize(units.repartition(width, "cluster", "block0", "block1").mapInArrow(_across(num, den), "digest long, root long, links long"), "across")
+    release(spark, folder)
+    judged = within.where("digest is not null").select("digest", "root", "links").unionByName(across)
     roots = connected_components(judged.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "digest"})
     linked = judged.groupBy("digest").agg(F.sum("links").alias("links"))
     named = classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -468,7 +538,9 @@ def keep_one(documents: DataFrame, k: int = 5, **how) -> DataFrame:
     Two Bloom filters spare most rows a shuffle: one of the doc_ids of rows that go or repeat, and one of those that pass
     the first though a row of theirs stays. Rows that the first doesn't pass stay where they are, rows that only the
     first passes go, and the few that both pass, and those without doc_id, are hashed again and judged exactly."""
+    began = mark()
     rows = materialize(grouped(documents, k=k, **how).select("doc_id", "digest", "root", "n_shingles"), "rows")
+    clean(documents.sparkSession, began, keep_last=True)
     classes = materialize(rows.where("n_shingles > 0").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies")), "groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("best")
     judged = classes.join(classes.groupBy("root").agg(best, F.count("*").alias("members")), "root").where("members > 1 or copies > 1")

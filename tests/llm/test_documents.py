@@ -1,6 +1,7 @@
 """Operators over documents against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarrykit.llm import decontamination, fingerprints, language_id, ngram_join, packing, tokens
+from quarrykit.llm import common, decontamination, fingerprints, language_id, ngram_join, packing, tokens
 from quarrykit.llm.common import connected_components, without
 from quarrykit.llm.queries import END_OF_TEXT, vocabulary
 
@@ -72,6 +73,37 @@ def test_join_in_blocks(frame, odd_documents, monkeypatch):
     assert joined(ngram_join.ngram_jaccard_join(frame(DOCS, odd_documents))) == brute_components(odd_documents)
 
 
+def shuffled(spark):
+    """Bytes that this application has written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+def test_sets_are_sent_once_however_many_blocks(spark, frame, monkeypatch):
+    """What is shuffled doesn't grow with the number of blocks that a large cluster has."""
+    rng = random.Random(21)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    rows = [(i, " ".join(w if rng.random() > 0.001 else f"n{rng.random()}" for w in text)) for i in range(48)]
+    took = []
+    for most in (1, 16):
+        monkeypatch.setattr(ngram_join, "FINE", 4_000)
+        monkeypatch.setattr(ngram_join, "MANY", most)
+        began = shuffled(spark)
+        assert joined(ngram_join.ngram_jaccard_join(frame(DOCS, rows))) == brute_components(rows)
+        took.append(shuffled(spark) - began)
+    assert took[1] < took[0] + 48 * 1500 * 8
+
+
+def test_join_leaves_little_behind(spark, frame, odd_documents):
+    """Signatures, sets and blocks, which are as large as the texts, are gone before the result is read."""
+    for operator in (ngram_join.ngram_jaccard_join, ngram_join.keep_one):
+        since = common.mark()
+        operator(frame(DOCS, odd_documents)).collect()
+        left = {at.rpartition("/")[2].partition("-")[0] for at in common._written[since:]}
+        there = {x.partition("-")[0] for x in os.listdir(common.shared_dir(spark).removeprefix("file:")) if any(x in at for at in common._written[since:])}
+        assert there == left and not left & {"sketches", "signatures", "sharing", "candidates", "blocks"}
+
+
 def test_join_of_nothing(frame):
     assert table(ngram_join.ngram_jaccard_join(frame(DOCS, []))) == []
     assert joined(ngram_join.ngram_jaccard_join(frame(DOCS, [(7, None)]))) == [(7, 0, 7, 0)]
