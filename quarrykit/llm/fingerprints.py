@@ -29,12 +29,16 @@ SPACES = "\t\n\x0b\x0c\r\x85\xa0"
 
 def _doubled(df: DataFrame, array: str, size: int, step) -> tuple[DataFrame, str]:
     """What ``step(width)`` makes of each ``size`` consecutive elements, from halves a and b of ``width`` each. Near the
-    end, where b lies beyond it, that is what it makes of a and null: to be cut off. size is a power of 2."""
+    end, where b lies beyond it, that is what it makes of a and null: to be cut off. size is a power of 2.
+
+    Spark interprets all that stands inside zip_with, slices too. Named twice, the later elements stay a column of a
+    projection of their own, which is compiled."""
     width, at = 1, array
     while width < size:
-        later = f"slice(`{at}`, {width + 1}, greatest(size(`{at}`) - {width}, 0))"
-        df, at = df.withColumn(f"{array}{2 * width}", F.expr(f"zip_with(`{at}`, {later}, (a, b) -> {step(width)})")), f"{array}{2 * width}"
-        width *= 2
+        later, to = f"{array}_later", f"{array}{2 * width}"
+        df = df.withColumn(later, F.expr(f"slice(`{at}`, {width + 1}, greatest(size(`{at}`) - {width}, 0))"))
+        df = df.withColumn(to, F.expr(f"if(size(`{later}`) < 0, `{later}`, zip_with(`{at}`, `{later}`, (a, b) -> {step(width)}))"))
+        width, at = 2 * width, to
     return df, at
 
 
@@ -58,23 +62,25 @@ def winnow(df: DataFrame, text: str, out: str, k: int = 8, w: int = 8) -> DataFr
     return df.select(*columns, chosen.alias(out))
 
 
-def place(value: str) -> str:
-    return f"({LAST}L - ({value} & {LAST}L))"
+def render(fingerprint: str, start: str | None = None) -> Column:
+    """The fingerprint as text: hash@position of each chosen k-gram, positions counted from start (a column of longs)."""
+    at = f"{LAST}L - (v & {LAST}L)" + (f" + {start}" if start else "")
+    return F.expr(f"lower(array_join(transform({fingerprint}, v -> concat(hex(shiftright(v, {PLACE})), '@', {at})), ' '))")
 
 
-def render(fingerprint: str) -> Column:
-    """The fingerprint as text: hash@position of each chosen k-gram."""
-    return F.expr(f"array_join(transform({fingerprint}, v -> concat(lower(hex(shiftrightunsigned(v, {PLACE}))), '@', {place('v')})), ' ')")
+def before(fingerprint: str, end: str, less: int = 0) -> str:
+    """The chosen k-grams that begin at end - less (end: a column of longs) or before."""
+    return f"filter({fingerprint}, v -> (v & {LAST}L) + {end} >= {LAST + less}L)"
 
 
 def hashes(fingerprint: str) -> str:
-    return f"array_distinct(transform({fingerprint}, v -> shiftrightunsigned(v, {PLACE})))"
+    return f"transform({fingerprint}, v -> shiftright(v, {PLACE}))"
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity of two arrays of distinct hashes; 1 if both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - common
+def likeness(a: str, b: str, both: Column) -> Column:
+    """Jaccard similarity of two arrays of hashes, given both's different ones together; 1 if both are empty."""
+    total = F.size(both)
+    common = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - total
     return F.when(total == 0, F.lit(1.0)).otherwise(common.cast("double") / total)
 
 
@@ -143,42 +149,57 @@ def edited_fingerprints(documents: DataFrame, k: int = 8, w: int = 8) -> DataFra
 
     A choice depends on the windows around it alone, so the edited text's choices are those of the two texts, but for
     those near the cut and near the end, which are made anew from a few characters there; where either part is
-    that short, all are made anew."""
+    that short, all are made anew. Choices ascend by position, so those that stay are slices, and the kept part's text is
+    the first part of the own fingerprint's."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows, window = with_next(docs, lambda df: winnow(df, "text", "chosen", k, w))
     follow = lambda c, name: F.lead(c).over(window).alias(name)
     rows = rows.select("doc_id", "text", "chosen", "__ghost", follow("text", "next"), follow("chosen", "next_chosen")).where("__ghost = 0")
-    n = F.length("text")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", "chosen", "next_chosen", (n - F.floor(n / 2)).cast("int").alias("p"))
-    rows = rows.withColumn("q", F.least(F.col("n_chars").cast("int") - F.col("p"), F.length("next")))
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("p")), F.substring("next", F.lit(1), F.col("q")))).drop("text", "next")
+    n, whole = F.length("text").cast("long"), lambda value: F.expr(f"int({value})")
+    rows = rows.select("doc_id", n.alias("n_chars"), "text", "next", "chosen", "next_chosen", F.expr("length(text) - length(text) div 2").alias("p"))
+    rows = rows.withColumn("q", F.least(F.col("n_chars") - F.col("p"), F.length("next").cast("long")))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), whole("p")), F.substring("next", F.lit(1), whole("q")))).drop("text", "next")
     anew, near = (F.least("p", "q") < k + 2 * w), k + 2 * w - 3
     rows = rows.withColumns(
         {
             "anew": anew,
-            "middle": F.when(anew, F.col("edited")).otherwise(F.substring("edited", F.col("p") - near + 1, F.lit(near + 2 * w + k - 3))),
-            "tail": F.when(~anew, F.substring("edited", F.col("p") + F.col("q") - near + 1, F.lit(near))),
+            "middle": F.when(anew, F.col("edited")).otherwise(F.substring("edited", whole(f"p - {near - 1}"), F.lit(near + 2 * w + k - 3))),
+            "tail": F.when(~anew, F.substring("edited", whole(f"p + q - {near - 1}"), F.lit(near))),
         }
     )
     rows = winnow(winnow(rows, "middle", "in_middle", k, w), "tail", "in_tail", k, w)
-    moved = lambda part, start, low, high: f"transform(filter({part}, v -> {place('v')} + {start} between {low} and {high}), v -> v - ({start}))"
-    joined = ", ".join(
-        (
-            moved("chosen", "0", "0", f"p - {k + w - 1}"),
-            moved("in_middle", f"p - {near}", f"p - {k + w - 2}", f"p + {w - 2}"),
-            moved("next_chosen", "p", f"p + {w - 1}", f"p + q - {k + w - 1}"),
-            moved("in_tail", f"p + q - {near}", f"p + q - {k + w - 2}", f"p + q - {k}"),
-        )
+    # the edited text's choices: kept of the own, middle, those of the next after the first skipped up to taken, tail
+    rows = rows.selectExpr(
+        "doc_id",
+        "n_chars",
+        "edited",
+        "chosen",
+        "next_chosen",
+        "p",
+        f"if(anew, 0L, p - {near}) AS middle_at",
+        f"p + q - {near} AS tail_at",
+        f"if(anew, 0, size({before('chosen', 'p', k + w - 1)})) AS kept",
+        f"if(anew, 0, size(filter(slice(next_chosen, 1, {w}), v -> (v & {LAST}L) > {LAST - w + 1}L))) AS skipped",
+        f"if(anew, 0, size({before('next_chosen', 'q', k + w - 1)})) AS taken",
+        f"if(anew, in_middle, filter(in_middle, v -> {LAST}L - (v & {LAST}L) BETWEEN {near - k - w + 2} AND {near + w - 2})) AS middle",
+        f"filter(in_tail, v -> {LAST}L - (v & {LAST}L) BETWEEN {near - k - w + 2} AND {near - k}) AS tail",
+    )
+    rows = rows.selectExpr("*", "slice(next_chosen, skipped + 1, greatest(taken - skipped, 0)) AS moved")
+    rows = rows.select(
+        "*", render("chosen").alias("fingerprint"), *(F.expr(hashes(c)).alias(f"__{c}") for c in ("chosen", "next_chosen", "middle", "tail"))
+    )
+    rows = rows.selectExpr("*", "concat(__middle, slice(__next_chosen, skipped + 1, greatest(taken - skipped, 0)), __tail) AS __others")
+    rows = rows.selectExpr("*", "concat(slice(__chosen, 1, kept), __others) AS __edited")
+    parts = (
+        F.when(F.col("kept") > 0, F.expr("substring_index(fingerprint, ' ', kept)")),
+        *(F.when(F.size(c) > 0, render(c, start)) for c, start in (("middle", "middle_at"), ("moved", "p"), ("tail", "tail_at"))),
     )
-    rows = rows.withColumn("edited_chosen", F.expr(f"if(anew, in_middle, concat({joined}))"))
-    names = ("chosen", "next_chosen", "edited_chosen")
-    rows = rows.select("*", *(F.expr(hashes(c)).alias(f"__{c}") for c in names))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        render("chosen").alias("fingerprint"),
-        render("edited_chosen").alias("edited_fingerprint"),
-        likeness("__chosen", "__edited_chosen").alias("near_edited"),
-        likeness("__chosen", "__next_chosen").alias("near_next"),
+        "fingerprint",
+        F.concat_ws(" ", *parts).alias("edited_fingerprint"),
+        likeness("__chosen", "__edited", F.array_union("__chosen", "__others")).alias("near_edited"),
+        likeness("__chosen", "__next_chosen", F.array_union("__chosen", "__next_chosen")).alias("near_next"),
     )

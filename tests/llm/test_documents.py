@@ -423,6 +423,13 @@ def test_fingerprints_stay_in_the_jvm(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_fingerprints_slice_outside_interpreted_passes(spark, sf):
+    """What stands inside zip_with is interpreted element by element: slices are taken before it."""
+    plan = fingerprints.edited_fingerprints(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    passes = [line for line in plan.splitlines() if "zip_with(" in line]
+    assert passes and not [line for line in passes if "slice(" in line.partition("zip_with(")[2]]
+
+
 # -- tokens and packing
 
 
